@@ -37,6 +37,8 @@ CACHED_WORDS = 600_000
 
 # Texts of these characters only are normalised by lower() alone and split by split(), as the tokenizer does it.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7eÀ-įı-ňŊ-ž‐-‧€]*+")
+# Marks that the tokenizer splits off the end of a part that ends in a letter or digit before them.
+_MARKS = ".,;:!?"
 _MARK = "©"  # not among them, and one token
 
 
@@ -58,7 +60,7 @@ class WordTokenizer:
             raise ValueError("the separator is not one token of this vocabulary")
 
     def _encode(self, text: str) -> np.ndarray:
-        return np.array(self._whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(self._whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
         """All parts in one call, told apart by a separator that no part contains."""
@@ -72,8 +74,24 @@ class WordTokenizer:
             ok = text is not None and _PLAIN.fullmatch(text) and not any(x in text for x in self._special)
             plain.append(text.lower().split() if ok else None)
         cache, extra = self._cache, {}
-        if missing := list(set().union(*(p for p in plain if p)) - cache.keys()):
-            extra = dict(zip(missing, self._encode_parts(missing), strict=True))
+        if missing := set().union(*(p for p in plain if p)) - cache.keys():
+            # Most parts are a word with a mark or two; the word alone has often been met.
+            marked, new = [], set()
+            for part in missing:
+                core = part.rstrip(_MARKS)
+                if core != part and core[-1:].isalnum():
+                    tail = part[len(core) :]
+                    marked.append((part, core, tail))
+                    if core not in cache:
+                        new.add(core)
+                    if tail not in cache:
+                        new.add(tail)
+                else:
+                    new.add(part)
+            words = list(new)
+            extra = dict(zip(words, self._encode_parts(words), strict=True)) if words else {}
+            for part, core, tail in marked:
+                extra[part] = (extra[core] if core in extra else cache[core]) + (extra[tail] if tail in extra else cache[tail])
             if full := len(cache) >= CACHED_WORDS:
                 cache.update(extra)
             else:
