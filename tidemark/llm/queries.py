@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, langid, packing, secrets, toxicity
+from tidemark.llm import chat, langid, packing, recompression, secrets, suffixes, toxicity
 from tidemark.llm.common import documents, map_rows, prepare, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir)
     model = langid.fit(rows.filter(~held_out()), public_tokenizers.path("piece_bpe_32k.model"))
     return langid.predict(rows, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op4_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = recompression.deduplicate(documents(spark, sf_dir))
+    return clean.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@register
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = suffixes.deduplicate(documents(spark, sf_dir))
+    return clean.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
