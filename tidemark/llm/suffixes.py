@@ -36,6 +36,8 @@ GRAM = 24
 SORTED_BYTES = 2 << 20
 SORTED_SUFFIXES = 200_000
 BUCKET_RUNS = 100_000
+# Periodic text makes runs of any length; they are sorted in parts of so many windows, which bounds a suffix.
+LONGEST_RUN = 80
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -107,7 +109,7 @@ class Forest:
         fresh = np.ones(len(self.candidates), dtype=bool)
         fresh[1:] = prints[self.candidates][1:] != prints[self.candidates][:-1]
         self.block = np.flatnonzero(fresh)
-        self.depth = window + 88
+        self.depth = window + LONGEST_RUN
 
     def slices(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Candidates in runs of whole blocks, some SORTED_SUFFIXES at a time, and the block of each."""
@@ -186,7 +188,12 @@ def _covered(window: int):
     """Ranges that maximal repeats cover in all occurrences but their first, for runs dealt and sorted by seed."""
 
     def ranges(rows: list[tuple]) -> pa.RecordBatch:
-        seed, doc_id, start, text_key, payload = (list(x) for x in zip(*rows, strict=True))
+        parts = [
+            (seed, doc_id, start + cut, text_key, payload[cut : cut + LONGEST_RUN - 1 + window])
+            for seed, doc_id, start, text_key, payload in rows
+            for cut in range(0, len(payload) - window + 1, LONGEST_RUN)
+        ]
+        seed, doc_id, start, text_key, payload = (list(x) for x in zip(*parts, strict=True))
         forest = Forest(payload, np.array(seed, np.int64).view(np.uint64), window)
         # Occurrences in order of document and start.
         rank_of = {d: i for i, d in enumerate(sorted({(d is not None, d or 0, k) for d, k in zip(doc_id, text_key, strict=True)}))}
