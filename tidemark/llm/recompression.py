@@ -205,7 +205,9 @@ def repeated_words(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     at = ("doc_id", "text_key")
     whole = found.filter("same").select(*at, F.col("start").alias("low"), (F.col("start") + F.col("windows") - 1 + window).alias("high"))
     single = found.filter("NOT same").select(*at, "start", F.posexplode("payload").alias("nth", "print"))
-    again = single.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print")
+    # Written first, so that both sides of the join are plain shuffles and a hot window's partition can be split.
+    again = staged(single.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print"))
+    release(documents.sparkSession)
     low = F.col("start") + F.col("nth")
     parts = single.join(again, "print").select(*at, low.alias("low"), (low + window).alias("high"))
     return whole.unionByName(parts)
