@@ -75,20 +75,15 @@ def seed_counts(documents: DataFrame, find: Find) -> DataFrame:
     return staged(counted.filter("n > 1").select("seed", (F.col("low") == F.col("high")).alias("same")))
 
 
-def filters(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps of the seeds, and of those whose runs differ, by the seeds' top bits: of fixed size."""
-    place = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - FILTER_BITS}) & 63 as int))")
-    words = counts.groupBy(F.shiftrightunsigned(place, 6).alias("word")).agg(
-        F.bit_or(bit).alias("all"), F.bit_or(F.when(~F.col("same"), bit).otherwise(F.lit(0).cast("long"))).alias("mixed")
-    )
-    got = words.toArrow()
-    out = []
-    for name in ("all", "mixed"):
-        bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-        bits[got.column("word").to_numpy()] = got.column(name).to_numpy().view(np.uint64)
-        out.append(bits)
-    return out[0], out[1]
+def bitmap(values: DataFrame) -> np.ndarray:
+    """The top bits of one column of 64-bit values as a bitmap of fixed size."""
+    value = F.col(values.columns[0])
+    place = F.shiftrightunsigned(value, 64 - FILTER_BITS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    got = values.groupBy(F.shiftrightunsigned(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    bits[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return bits
 
 
 def passes(bits: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -108,7 +103,7 @@ def repeated_runs(documents: DataFrame, find: Find, payload: pa.DataType, payloa
     spark = documents.sparkSession
     counts = seed_counts(documents, find)
     release(spark)
-    every, mixed = filters(counts)
+    every, mixed = bitmap(counts.select("seed")), bitmap(counts.filter("NOT same").select("seed"))
     every_b, mixed_b = spark.sparkContext.broadcast(every), spark.sparkContext.broadcast(mixed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

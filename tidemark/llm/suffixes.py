@@ -1,6 +1,6 @@
 """Substring deduplication by bytes: an enhanced suffix array with its common-prefix interval tree.
 
-Suffixes that share 100 bytes or more also share the least 24-byte gram of their first 100 bytes, so the deep part of
+Suffixes that share 100 bytes or more also share the least 32-byte gram of their first 100 bytes, so the deep part of
 the whole corpus's suffix array falls into buckets by that gram, its *seed*, and no interval of that depth lies in two buckets. Buckets
 with one suffix per text hold no repeat and are dropped before any text moves; a bucket whose runs of suffixes are all
 alike is one interval. For the others each task sorts the suffixes of its buckets, computes the common prefixes of
@@ -31,13 +31,14 @@ from tidemark.llm.common import BYTE, Prefix, Texts, mix, release, staged
 from tidemark.llm.repeats import Runs, attach, mask_of, repeated_runs, runs_of
 
 WINDOW = 100
-GRAM = 24
+GRAM = 32
 # Bytes of runs that a task sorts at once, suffixes in one sort, and different runs in a bucket that one task may hold.
 SORTED_BYTES = 2 << 20
 SORTED_SUFFIXES = 200_000
 BUCKET_RUNS = 100_000
 # Periodic text makes runs of any length; they are sorted in parts of so many windows, which bounds a suffix.
 LONGEST_RUN = 80
+_MASKS = np.array([0, *(2**64 - (1 << (64 - 8 * n)) for n in range(1, 9))], dtype=np.uint64)
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -110,6 +111,7 @@ class Forest:
         fresh[1:] = prints[self.candidates][1:] != prints[self.candidates][:-1]
         self.block = np.flatnonzero(fresh)
         self.depth = window + LONGEST_RUN
+        self.word: np.ndarray | None = None
 
     def slices(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Candidates in runs of whole blocks, some SORTED_SUFFIXES at a time, and the block of each."""
@@ -123,48 +125,56 @@ class Forest:
     def keys(self, suffixes: np.ndarray) -> np.ndarray:
         """The first ``depth`` bytes of each suffix as big-endian words, zero past its end: (words, suffixes)."""
         words = -(-self.depth // 8)
-        padded = np.concatenate([self.data, np.zeros(8 * words, np.uint8)])
-        out = np.empty((words, len(suffixes)), np.uint64)
-        size = self.end[suffixes] - self.at[suffixes]
-        for w in range(words):
-            value = np.zeros(len(suffixes), np.uint64)
+        if self.word is None:
+            padded = np.concatenate([self.data, np.zeros(8 * words + 8, np.uint8)]).astype(np.uint64)
+            self.word = np.zeros(len(self.data) + 8 * words, np.uint64)
             for b in range(8):
-                value = value << np.uint64(8) | np.where(8 * w + b < size, padded[self.at[suffixes] + 8 * w + b], 0).astype(np.uint64)
-            out[w] = value
-        return out
+                self.word |= padded[b : b + len(self.word)] << np.uint64(56 - 8 * b)
+        at, size = self.at[suffixes], self.end[suffixes] - self.at[suffixes]
+        return np.stack([self.word[at + 8 * w] & _MASKS[np.clip(size - 8 * w, 0, 8)] for w in range(words)])
 
-    def sorted_slice(self, suffixes: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The suffix array of a slice, and the common prefix of each suffix with the one before it."""
-        keys = self.keys(suffixes)
-        order = np.lexsort([*keys[::-1], blocks])
-        suffixes, keys, blocks = suffixes[order], keys[:, order], blocks[order]
+    def common(self, suffixes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The common prefix of each suffix with the one before it, from the second on."""
         differ = keys[:, 1:] ^ keys[:, :-1]
         first = np.argmax(differ != 0, axis=0)
         value = differ[first, np.arange(differ.shape[1])]
         leading = sum((value < np.uint64(1 << bits)).astype(np.int64) for bits in range(8, 64, 8))
-        common = np.where(value != 0, 8 * first + leading, 8 * len(keys))
+        equal = np.where(value != 0, 8 * first + leading, 8 * len(keys))
         size = self.end[suffixes] - self.at[suffixes]
-        common = np.minimum(common, np.minimum(size[1:], size[:-1]))
-        return suffixes, np.concatenate([[0], np.where(blocks[1:] == blocks[:-1], common, 0)])
+        return np.minimum(equal, np.minimum(size[1:], size[:-1]))
+
+    def before(self, suffixes: np.ndarray) -> np.ndarray:
+        """The byte before each suffix; at the start of a run, where none is known, a value of its own."""
+        return np.where(self.offset[suffixes] > 0, self.data[np.maximum(self.at[suffixes] - 1, 0)].astype(np.int64), -1 - np.arange(len(suffixes)))
 
-    def groups(self) -> Iterator[tuple[np.ndarray, int]]:
-        """Maximal repeats: their occurrences as suffixes, and their length."""
+    def groups(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Maximal repeats, many at a time or one: occurrences as suffixes (a row per repeat), and lengths."""
         for suffixes, blocks in self.slices():
-            ranked, common = self.sorted_slice(suffixes, blocks)
-            before = np.where(self.offset[ranked] > 0, self.data[np.maximum(self.at[ranked] - 1, 0)].astype(np.int64), -1 - np.arange(len(ranked)))
-            deep = common >= self.window
-            first = np.flatnonzero(~deep)
-            last = np.append(first[1:], len(ranked)) - 1
-            for low, high in zip(first.tolist(), last.tolist(), strict=True):
-                if high == low + 1:
-                    # Two suffixes are one interval.
-                    if before[low] != before[high]:
-                        yield ranked[low : high + 1], int(common[high])
-                elif high > low:
-                    for left, right, length in intervals(common[low : high + 1].tolist()):
-                        inside = before[low + left : low + right + 1]
-                        if (inside != inside[0]).any():
-                            yield ranked[low + left : low + right + 1], length
+            size = np.bincount(blocks)[blocks]
+            # Two suffixes are one interval, whichever stands first.
+            two = suffixes[size == 2]
+            if len(two):
+                common, before = self.common(two, self.keys(two))[::2], self.before(two)
+                repeat = (common >= self.window) & (before[::2] != before[1::2])
+                yield two.reshape(-1, 2)[repeat], common[repeat]
+            if (size > 2).any():
+                yield from self._larger(suffixes[size > 2], blocks[size > 2])
+
+    def _larger(self, suffixes: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        keys = self.keys(suffixes)
+        # Suffixes of a block have their first window in common, so it need not be compared to sort them.
+        order = np.lexsort([*keys[: self.window // 8 - 1 : -1], blocks])
+        ranked, keys, blocks = suffixes[order], keys[:, order], blocks[order]
+        common = np.concatenate([[0], np.where(blocks[1:] == blocks[:-1], self.common(ranked, keys), 0)])
+        before = self.before(ranked)
+        first = np.flatnonzero(common < self.window)
+        last = np.append(first[1:], len(ranked)) - 1
+        for low, high in zip(first.tolist(), last.tolist(), strict=True):
+            if high > low:
+                for left, right, length in intervals(common[low : high + 1].tolist()):
+                    inside = before[low + left : low + right + 1]
+                    if (inside != inside[0]).any():
+                        yield ranked[None, low + left : low + right + 1], np.array([length])
 
 
 def intervals(common: list[int]) -> Iterator[tuple[int, int, int]]:
@@ -199,12 +209,12 @@ def _covered(window: int):
         rank_of = {d: i for i, d in enumerate(sorted({(d is not None, d or 0, k) for d, k in zip(doc_id, text_key, strict=True)}))}
         place = np.array([rank_of[d is not None, d or 0, k] for d, k in zip(doc_id, text_key, strict=True)], np.int64)
         begin = np.array(start, np.int64)
+        when = place[forest.run] * (1 << 40) + begin[forest.run] + forest.offset
         longest = np.zeros(len(forest.run), np.int64)
-        for members, length in forest.groups():
-            doc, at = place[forest.run[members]], begin[forest.run[members]] + forest.offset[members]
-            later = np.lexsort((at, doc))[1:]
-            keep = members[later]
-            longest[keep] = np.maximum(longest[keep], length)
+        for members, lengths in forest.groups():
+            at = when[members]
+            later = at > at.min(axis=1, keepdims=True)
+            np.maximum.at(longest, members[later], np.repeat(lengths, later.sum(axis=1)))
         hit = np.flatnonzero(longest)
         run, low = forest.run[hit], begin[forest.run[hit]] + forest.offset[hit]
         high = low + longest[hit]
@@ -263,6 +273,7 @@ def repeated_bytes(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
         F.min(spot).alias("first"), F.first("payload", ignorenulls=True).alias("payload"), F.count(F.lit(1)).alias("n"),
         F.first("same").alias("same"),
     ))
+    release(documents.sparkSession)
     copied = firsts.filter("n > 1").select("seed", "content", "windows", "first")
     earlier = F.struct("first.doc_id", "first.start")
     copies = found.drop("payload").join(copied, ["seed", "content", "windows"]).filter(~F.struct("doc_id", "start").eqNullSafe(earlier))
