@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Text that is handled at once: bounds what vectorised code allocates, whatever the size of an Arrow batch.
 CHUNK_BYTES = 1 << 20
@@ -61,6 +62,30 @@ def map_rows(df: DataFrame, fn: Callable[[list[list]], Iterable[tuple]], schema:
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def edit_batches(df: DataFrame, edit: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """``df`` with each batch, all columns of it, passed through ``edit``, which keeps the columns."""
+    return df.mapInArrow(lambda batches: map(edit, batches), df.schema)
+
+
+# Rows that may be broadcast: some MB of keys.
+BROADCAST_ROWS = 200_000
+
+
+def without(df: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Rows of documents whose (doc_id, text_key) is not among ``rejected``. Those are broadcast if they are counted
+    to be few, so that texts stay where they are, and shuffled otherwise."""
+    gone = staged(rejected.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key"))
+    return df.join(gone, same, "left_anti")
+
+
+def text_key() -> Column:
+    """Tells rows of one doc_id with different texts apart."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def arrow_types(spark: SparkSession, schema: str) -> list[pa.DataType]:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -24,7 +24,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import staged, text_key, without
 
 PHRASE = 10
 BROADCAST_TERMS = 200_000
@@ -82,7 +82,7 @@ def index(documents: DataFrame, anchors: DataFrame) -> DataFrame:
     """Postings of the anchor terms with their neighbourhood, and one row without a term per document:
     doc_id, text_key, n_words, pos, term, near (words), near_at (position of its first word)."""
     rows = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), words(F.col("text")).alias("w")
+        F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), words(F.col("text")).alias("w")
     )
     each = rows.select("doc_id", "text_key", "w", F.posexplode_outer("w").alias("pos", "word"))
     reach = anchors.select("term", "before", "after")
@@ -151,3 +151,8 @@ def proximity_matches(documents: DataFrame, items: DataFrame, span: int, n: int
     holds = F.filter(starts, lambda s: F.size(F.array_intersect(need, F.slice("near", s, F.lit(span)))) == F.size(need))
     hit = near.withColumn("at", F.array_min(holds)).filter("at IS NOT NULL")
     return hit.groupBy("doc_id", "phrase").agg(F.min(F.col("near_at") + F.col("at") - 1).alias("low"))
+
+
+def clean(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """The documents without a word of any phrase of the items."""
+    return without(documents, scan(documents, items).filter("n_hit > 0"))

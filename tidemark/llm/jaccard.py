@@ -5,8 +5,8 @@ node's sketch holds one sampled shingle per coordinate, the least under a hash:
 with probability equal to their similarity. Chosen paths split nodes recursively: each run starts from its own coordinates;
 nodes that share the token at a path's coordinate are a bucket; a bucket of no more than BUCKET nodes is compared by
 brute force, on sketches, and a larger one is split again on BRANCHES further sampled coordinates. Runs are repeated
-until a pair at the threshold is met with the target recall. Buckets that are still large after DEPTH splits hold
-sets alike through and through; their nodes are put into one candidate group without comparing them.
+until a pair at the threshold is met with the target recall. A large bucket that keeps most of its nodes in a split,
+or is still large after DEPTH of them, holds sets that are alike; its nodes go into one candidate group uncompared.
 
 Candidate groups, not pairs, are then verified on whole shingle sets: within a group all pairs are compared, block
 against block, so no task holds more than two blocks; a task returns its nodes' numbers of links and a spanning
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ALNUM, Prefix, Texts, chunks, mix, release, staged
+from tidemark.llm.common import ALNUM, Prefix, Texts, chunks, mix, release, staged, text_key, without
 from tidemark.llm.graph import components
 from tidemark.llm.repeats import bitmap, passes
 
@@ -39,6 +39,8 @@ COORDINATES = 64
 BRANCHES = 2
 DEPTH = 5
 BUCKET = 128
+# A large bucket that a split leaves with this part of its nodes holds sets alike, and is not split again.
+ALIKE = 0.7
 BLOCK = 384
 # Sketches of a pair at the threshold agree this much at least, but for one pair in millions (five standard deviations).
 _AGREE = math.floor(COORDINATES * (THRESHOLD - 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDINATES)))
@@ -106,7 +108,7 @@ def _identity(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(total + np.diff(bounds).astype(np.uint64))
 
 
-ROWS = "doc_id long, node long, size long, sketch binary"
+ROWS = "doc_id long, text_key long, node long, size long, sketch binary"
 
 
 def rows(documents: DataFrame) -> DataFrame:
@@ -125,11 +127,11 @@ def rows(documents: DataFrame) -> DataFrame:
                 for i, n, s, k in zip(some.tolist(), _identity(tokens, own).view(np.int64).tolist(), np.diff(own).tolist(), made, strict=True):
                     node[i], size[i], sketch[i] = n, s, k.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(row, len(texts)), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(sketch, pa.binary())],
+                    [*(batch.column(c).slice(row, len(texts)) for c in ("doc_id", "text_key")), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(sketch, pa.binary())],
                     [c.split()[0] for c in ROWS.split(", ")],
                 )
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ROWS)
+    return documents.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text").mapInArrow(run, ROWS)
 
 
 def _sketch_matrix(column: pa.Array) -> np.ndarray:
@@ -137,7 +139,7 @@ def _sketch_matrix(column: pa.Array) -> np.ndarray:
 
 
 def _paths(first: bool):
-    """Rows (path, node) of the roots of sketches, or of the children of paths."""
+    """Rows (path, node, within: size of the bucket it splits) of the roots of sketches, or of the children of paths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +149,8 @@ def _paths(first: bool):
             else:
                 made = children(batch.column("path").to_numpy().view(np.uint64), sketch)
             node = np.repeat(batch.column("node").to_numpy(), made.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(made.ravel().view(np.int64)), pa.array(node)], ["path", "node"])
+            within = np.zeros(len(node), np.int64) if first else np.repeat(batch.column("n").to_numpy(), made.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(made.ravel().view(np.int64)), pa.array(node), pa.array(within)], ["path", "node", "within"])
 
     return run
 
@@ -212,22 +215,20 @@ def candidate_groups(nodes: DataFrame) -> DataFrame:
     """node, component: nodes that some run's recursion brought together, by component."""
     spark = nodes.sparkSession
     edges = None
-    members = staged(nodes.select("node", "sketch").mapInArrow(_paths(True), "path long, node long"))
+    members = staged(nodes.select("node", "sketch").mapInArrow(_paths(True), "path long, node long, within long"))
     for depth in range(1, DEPTH + 1):
-        sizes = members.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
-        sizes = staged(sizes)
+        sizes = members.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.min("within").alias("within"))
+        alike = (F.col("within") > 0) & (F.col("n") >= ALIKE * F.col("within")) | F.lit(depth == DEPTH)
+        sizes = staged(sizes.filter("n > 1").select("path", "n", "least", alike.alias("alike")))
         small = members.join(sizes.filter(F.col("n") <= BUCKET).select("path"), "path").join(nodes.select("node", "size", "sketch"), "node")
         found = small.repartition("path").sortWithinPartitions("path", "node").mapInArrow(_bucket_edges, "a long, b long")
-        large = members.join(sizes.filter(F.col("n") > BUCKET), "path")
-        if depth == DEPTH:
-            found = found.unionByName(large.select(F.col("node").alias("a"), F.col("least").alias("b")))
-        found = staged(found)
+        large = members.select("path", "node").join(sizes.filter(F.col("n") > BUCKET), "path")
+        found = staged(found.unionByName(large.filter("alike").select(F.col("node").alias("a"), F.col("least").alias("b"))))
         edges = found if edges is None else edges.unionByName(found)
-        if depth < DEPTH:
-            if sizes.filter(F.col("n") > BUCKET).isEmpty():
-                break
-            extended = large.select("path", "node").join(nodes.select("node", "sketch"), "node")
-            members = staged(extended.mapInArrow(_paths(False), "path long, node long").distinct())
+        if sizes.filter((F.col("n") > BUCKET) & ~F.col("alike")).isEmpty():
+            break
+        extended = large.filter("NOT alike").select("path", "node", "n").join(nodes.select("node", "sketch"), "node")
+        members = staged(extended.mapInArrow(_paths(False), "path long, node long, within long").distinct())
         release(spark)
     return components(edges)
 
@@ -313,8 +314,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def join(documents: DataFrame) -> DataFrame:
-    """Per document: doc_id, class_id, n_links (other documents at or above the threshold), node (its set, null without
-    shingles)."""
+    """Per document: doc_id, text_key, class_id, n_links (other documents at or above the threshold), node (its set,
+    null without shingles) and first, whether it is its class's first (class_id and, of several texts of that id, one)."""
     spark = documents.sparkSession
     every = staged(rows(documents))
     nodes = staged(every.filter("node IS NOT NULL").groupBy("node").agg(
@@ -335,11 +336,25 @@ def join(documents: DataFrame) -> DataFrame:
     labels = components(verified.filter("links = 0").select("a", "b"))
     known = nodes.select("node", "copies", "least_id").join(labels, "node", "left").join(links, "node", "left")
     known = staged(known.select("node", "copies", "least_id", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")))
-    classes = known.groupBy("component").agg(F.min("least_id").alias("class_id"))
-    named = known.join(classes, "component").select("node", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    joined = every.select("doc_id", "node").join(named, "node", "left")
+    classes = known.groupBy("component").agg(F.min(F.struct("least_id", "node")).alias("first"))
+    named = known.join(classes, "component").select(
+        "node", F.col("first.least_id").alias("class_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"),
+        (F.col("first.node") == F.col("node")).alias("leads"),
+    )
+    joined = every.select("doc_id", "text_key", "node").join(named, "node", "left")
     none = F.col("node").isNull()
     return joined.select(
-        "doc_id", F.when(none, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "doc_id", "text_key", F.when(none, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "node",
+        (none | F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("first"),
     )
+
+
+def deduplicate(documents: DataFrame) -> DataFrame:
+    """The documents without those that are not the first of their class; of rows that repeat exactly one stays."""
+    joined = staged(join(documents))
+    kept = without(documents, joined.filter("NOT first"))
+    again = joined.filter("first AND node IS NOT NULL").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if again.isEmpty():
+        return kept
+    return kept.withColumn("_key", text_key()).dropDuplicates(["doc_id", "_key"]).drop("_key")

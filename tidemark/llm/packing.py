@@ -238,3 +238,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PAR
         if not n:
             return done
     return done
+
+
+def packed(documents: DataFrame, path: str) -> DataFrame:
+    """The pieces of all documents with their sequence and offset."""
+    cut = staged(pieces(documents, path))
+    return cut.join(pack(cut), "piece_key").drop("piece_key")

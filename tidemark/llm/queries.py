@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat, decontaminate, jaccard, langid, packing, recompression, secrets, suffixes, toxicity
-from tidemark.llm.common import documents, map_rows, prepare, staged
+from tidemark.llm.common import documents, map_rows, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,8 +27,7 @@ def sha(text: str) -> str:
 
 @register
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = staged(packing.pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
-    return cut.join(packing.pack(cut), "piece_key").drop("piece_key")
+    return packing.packed(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 @register

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Texts, chunks, release, staged
+from tidemark.llm.common import Texts, chunks, release, staged, text_key
 
 # Bits of each filter: 16 MB whatever the input.
 FILTER_BITS = 27
@@ -94,7 +94,7 @@ def passes(bits: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 def keyed(documents: DataFrame) -> DataFrame:
     """doc_id, text_key and text: the key tells rows of one id with different texts apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), text.alias("text"))
 
 
 def repeated_runs(documents: DataFrame, find: Find, payload: pa.DataType, payload_sql: str) -> DataFrame:

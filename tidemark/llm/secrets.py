@@ -13,6 +13,11 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from tidemark.llm.common import edit_batches
+
 # The strong patterns and the least length of a match that counts.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -107,3 +112,17 @@ def redact(text: str, spans: list[Span], mark: str = "[REDACTED]") -> str:
         out += [text[at:start], mark]
         at = end
     return "".join([*out, text[at:]])
+
+
+def redacted(documents: DataFrame) -> DataFrame:
+    """The documents with every span replaced by a mark, and ``n_chars``, if there, counted again; nulls stay."""
+
+    def edit(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t and redact(t, scan(t)[1]) for t in batch.column("text").to_pylist()]
+        for name, values in (("text", texts), ("n_chars", [None if t is None else len(t) for t in texts])):
+            if name in batch.schema.names:
+                at = batch.schema.get_field_index(name)
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
+        return batch
+
+    return edit_batches(documents, edit)

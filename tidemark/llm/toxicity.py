@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ALNUM, Texts, chunks, utf8
+from tidemark.llm.common import ALNUM, Texts, chunks, edit_batches, utf8
 
 # The bounded sample that the field is fitted on: documents of each label.
 SAMPLE_DOCUMENTS = 1500
@@ -275,3 +275,13 @@ def score(documents: DataFrame, field: Field, threshold: float = 0.5) -> DataFra
 
     schema = "doc_id long, score double, spans array<struct<start: long, end: long, marginal: double>>"
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+
+
+def reject(documents: DataFrame, field: Field, threshold: float = 0.5) -> DataFrame:
+    """The documents whose score is under the threshold, all columns."""
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        below = [field.score(found) < threshold for _, texts in chunks(batch.column("text")) for _, _, found, _ in field.tag(texts)]
+        return batch.filter(pa.array(below, pa.bool_()))
+
+    return edit_batches(documents, keep)
