@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import ALNUM, Texts, chunks, edit_batches, utf8
 
 # The bounded sample that the field is fitted on: documents of each label.
-SAMPLE_DOCUMENTS = 1500
+SAMPLE_DOCUMENTS = 500
 STEMS = (3, 4, 5, 6)
 # Evidence: documents of the sample that have a feature, and by how much its log odds must favour toxic ones.
 LEAST_DOCUMENTS = 5
@@ -34,7 +34,7 @@ LEAST_ODDS = 3.0
 LEAST_LABEL_ODDS = 4.0
 MOST_FEATURES = 20_000
 SEQUENCE = 64
-STEPS = 120
+STEPS = 80
 LONGEST_GAP = 512
 
 
@@ -220,14 +220,21 @@ def fit_texts(texts: list[str], toxic: np.ndarray) -> Field:
     document = np.repeat(np.arange(len(texts)), np.diff(bounds))
     seen = [Counter(), Counter()]
     for own in features:
-        pairs = np.unique(np.stack([own, document.astype(np.uint64)]), axis=1)
-        for label in (0, 1):
-            keys, counts = np.unique(pairs[0][toxic[pairs[1].astype(int)] == label], return_counts=True)
-            seen[label].update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
+        # Distinct (feature, document) pairs, one sort at a time.
+        order = np.lexsort((document, own))
+        key, doc = own[order], document[order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+        key, label_of = key[new], toxic[doc[new]]
+        often, counts = np.unique(key[label_of == 1], return_counts=True)
+        often, counts = often[counts >= LEAST_DOCUMENTS], counts[counts >= LEAST_DOCUMENTS]
+        seen[1].update(dict(zip(often.tolist(), counts.tolist(), strict=True)))
+        clean, counts = np.unique(key[(label_of == 0) & np.isin(key, often)], return_counts=True)
+        seen[0].update(dict(zip(clean.tolist(), counts.tolist(), strict=True)))
     n = [int((toxic == label).sum()) for label in (0, 1)]
     odds = {
         k: np.log((c + 0.5) / (n[1] + 1)) - np.log((seen[0][k] + 0.5) / (n[0] + 1))
-        for k, c in seen[1].items() if k and c >= LEAST_DOCUMENTS
+        for k, c in seen[1].items() if k
     }
     chosen = sorted((k for k, v in odds.items() if v >= LEAST_ODDS), key=lambda k: (-odds[k], k))[:MOST_FEATURES]
     hashes = np.array(sorted(chosen), dtype=np.uint64)
