@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, jaccard, langid, packing, recompression, secrets, suffixes, toxicity
-from tidemark.llm.common import documents, map_rows, prepare
+from tidemark.llm import chat, decontaminate, images, jaccard, langid, packing, recompression, secrets, suffixes, toxicity
+from tidemark.llm.common import documents, map_rows, prepare, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +106,29 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
+def media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image for every row of embeddings, and for every tenth one an edited copy: cropped, brightened, with noise.
+
+    The test tables hold no images. A row's texture comes from its vector alone, so equal vectors are equal images;
+    media_id is twice vec_id, and one more for the copy.
+    """
+    prepare(spark)
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+    def draw(columns):
+        for vec_id, vector in zip(*columns, strict=True):
+            raw = np.array(vector or [], np.float32).tobytes()
+            rng = np.random.Generator(np.random.PCG64(zlib.crc32(raw)))
+            texture = images.resize(rng.uniform(0, 255, (20, 20)), 80, 80)
+            yield 2 * vec_id, images.encode(texture)
+            if vec_id % 10 == 0:
+                yield 2 * vec_id + 1, images.encode(texture[8:72, 6:74] * 0.85 + 20 + rng.normal(0, 2, (64, 68)))
+
+    return map_rows(rows, draw, "media_id long, content binary", "vec_id", "embedding")
+
+
+@register
+def op6_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.copies(staged(media(spark, sf_dir)))
