@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat, decontaminate, images, jaccard, langid, packing, recompression, secrets, suffixes, toxicity
-from tidemark.llm.common import documents, map_rows, prepare, staged
+from tidemark.llm.common import documents, map_rows, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,4 +131,4 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op6_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images.copies(staged(media(spark, sf_dir)))
+    return images.copies(media(spark, sf_dir))
