@@ -126,7 +126,8 @@ def _spread_max(n: int, low: np.ndarray, high: np.ndarray, keys: np.ndarray, wid
     for j in range(top - 1, 0, -1):
         half, below = 1 << (j - 1), tables[j - 1]
         np.maximum(below, tables[j], out=below)
-        np.maximum(below[half:], tables[j][: n - half], out=below[half:])
+        if half < n:
+            np.maximum(below[half:], tables[j][: n - half], out=below[half:])
     return tables[0]
 
 

@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import ALNUM, Texts, chunks, edit_batches, utf8
 
-# The bounded sample that the field is fitted on: documents of each label.
+# The bounded sample that the field is fitted on: documents of each label, and clean ones for counts alone.
 SAMPLE_DOCUMENTS = 500
+MORE_CLEAN = 1500
 STEMS = (3, 4, 5, 6)
-# Evidence: documents of the sample that have a feature, and by how much its log odds must favour toxic ones.
-LEAST_DOCUMENTS = 5
+# Evidence: contexts in which a feature stands, and by how much its log odds must favour toxic documents.
+LEAST_CONTEXTS = 5
 LEAST_ODDS = 3.0
 LEAST_LABEL_ODDS = 4.0
 MOST_FEATURES = 20_000
@@ -211,27 +212,45 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit_texts(texts: list[str], toxic: np.ndarray) -> Field:
-    """A field from labelled texts."""
+def _distinct(keys: np.ndarray, context: np.ndarray, rows: np.ndarray) -> dict[int, int]:
+    """In how many contexts each key stands in the given rows."""
+    keys, context = keys[rows], context[rows]
+    order = np.lexsort((context, keys))
+    keys, context = keys[order], context[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (context[1:] != context[:-1])
+    found, counts = np.unique(keys[new], return_counts=True)
+    return dict(zip(found.tolist(), counts.tolist(), strict=True))
+
+
+def _clean_counts(texts: list[str], often: np.ndarray) -> Counter:
+    """The same for some more texts and the given features, a few texts at a time."""
+    out: Counter = Counter()
+    for _, part in chunks(pa.array(texts, pa.large_string())):
+        features = word_features(part)[3]
+        for own in features:
+            out.update(_distinct(own, np.roll(features[0], 1), np.isin(own, often)))
+    return out
+
+
+def fit_texts(texts: list[str], toxic: np.ndarray, clean: list[str] | tuple[str, ...] = ()) -> Field:
+    """A field from labelled texts; ``clean`` ones only tell which features clean texts have too."""
     if not len(toxic) or toxic.min() == toxic.max():
         return Field(np.zeros(0, np.uint64), np.zeros(0), -9.0, np.zeros((2, 2)), (-40.0, 0.0, 0.0))
     sample = Texts(*utf8(pa.array(texts, pa.large_string())))
     _, _, bounds, features = word_features(sample)
     document = np.repeat(np.arange(len(texts)), np.diff(bounds))
     seen = [Counter(), Counter()]
+    # Evidence is counted by the word before, not by document: copies of a text repeat its words in their places.
+    context = np.where(np.arange(len(document)) == bounds[:-1][document], np.uint64(0), np.roll(features[0], 1))
     for own in features:
-        # Distinct (feature, document) pairs, one sort at a time.
-        order = np.lexsort((document, own))
-        key, doc = own[order], document[order]
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-        key, label_of = key[new], toxic[doc[new]]
-        often, counts = np.unique(key[label_of == 1], return_counts=True)
-        often, counts = often[counts >= LEAST_DOCUMENTS], counts[counts >= LEAST_DOCUMENTS]
-        seen[1].update(dict(zip(often.tolist(), counts.tolist(), strict=True)))
-        clean, counts = np.unique(key[(label_of == 0) & np.isin(key, often)], return_counts=True)
-        seen[0].update(dict(zip(clean.tolist(), counts.tolist(), strict=True)))
-    n = [int((toxic == label).sum()) for label in (0, 1)]
+        often = _distinct(own, context, toxic[document] == 1)
+        seen[1].update({k: c for k, c in often.items() if c >= LEAST_CONTEXTS})
+        asked = np.isin(own, np.array(sorted(often), np.uint64))
+        seen[0].update(_distinct(own, context, asked & (toxic[document] == 0)))
+    if clean and seen[1]:
+        seen[0] += _clean_counts(list(clean), np.array(sorted(seen[1]), np.uint64))
+    n = [int((toxic == 0).sum()) + len(clean), int((toxic == 1).sum())]
     odds = {
         k: np.log((c + 0.5) / (n[1] + 1)) - np.log((seen[0][k] + 0.5) / (n[0] + 1))
         for k, c in seen[1].items() if k
@@ -252,17 +271,20 @@ def fit_texts(texts: list[str], toxic: np.ndarray) -> Field:
     return Field(hashes, weights, bias, trans, tuple(head.tolist()))
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Field:
-    """A field from documents (doc_id, text) and labels (doc_id, toxic): ``sample`` documents of each label, by a hash."""
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS, more: int = MORE_CLEAN) -> Field:
+    """A field from documents (doc_id, text) and labels (doc_id, toxic): ``sample`` documents of each label and ``more``
+    clean ones, by a hash."""
     by_doc = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     pick = F.xxhash64("doc_id", F.lit("toxicity"))
     ids = None
     for label in (0, 1):
-        own = by_doc.filter(F.col("_toxic") == label).orderBy(pick, "doc_id").limit(sample)
+        own = by_doc.filter(F.col("_toxic") == label).orderBy(pick, "doc_id").limit(sample if label else sample + more)
         ids = own if ids is None else ids.unionByName(own)
     chosen = documents.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "_toxic")
     rows = sorted(chosen.toLocalIterator())
-    return fit_texts([r[1] for r in rows], np.array([r[2] for r in rows], dtype=int))
+    toxic, clean = ([r[1] for r in rows if bool(r[2]) is label] for label in (True, False))
+    own, rest = clean[:sample], clean[sample:]
+    return fit_texts([*toxic, *own], np.array([1] * len(toxic) + [0] * len(own)), rest)
 
 
 def score(documents: DataFrame, field: Field, threshold: float = 0.5) -> DataFrame:
