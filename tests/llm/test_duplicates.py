@@ -91,7 +91,7 @@ def test_intervals_by_brute_force():
 
 def test_edges_of_substring_operators(edges, empty):
     words = {(r.doc_id, r.n_words, r.n_removed) for r in recompression.deduplicate(edges).collect()}
-    assert {(1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 1, 0), (6, 120, 120), (None, 9, 0)} <= words
+    assert {(1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 1, 0), (6, 120, 120), (None, 10, 0)} <= words
     bytes_ = [(r.doc_id, r.n_bytes, r.n_spans) for r in suffixes.deduplicate(edges).collect()]
     assert (1, 0, 0) in bytes_ and (8, 120_000, 1) in bytes_ and len(bytes_) == 11
     assert recompression.deduplicate(empty).collect() == [] == suffixes.deduplicate(empty).collect()
