@@ -162,6 +162,19 @@ def test_languages_on_edges(edges, empty):
     assert langid.predict(empty, model).collect() == []
 
 
+def test_repeated_ids_do_not_outgrow_samples(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_texts", lambda texts, toxic, clean: seen.append((texts, toxic.tolist(), clean)))
+    rows = [(1, "b clown"), *[(1, f"x{i}") for i in range(50)], (2, "calm"), (3, None)]
+    df = spark.createDataFrame([(*r, "xx" if r[0] == 1 else "yy") for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0)], "doc_id long, toxic int")
+    toxicity.fit(df, labels, 1, 1)
+    assert seen == [(["b clown", "calm"], [1, 0], [])]
+    model = langid.fit(df, public_tokenizers.path("piece_bpe_32k.model"), documents=1)
+    assert model.languages == ["xx", "yy"]
+    assert np.array_equal(model.logp, langid.fit(df.filter("doc_id = 2 OR text = 'b clown'"), public_tokenizers.path("piece_bpe_32k.model")).logp)
+
+
 def test_toxicity_held_out(spark):
     scored = queries.op5_toxic_spans(spark, f"{DATA}/sf0.1").filter("held_out")
     rows = scored.join(spark.read.parquet(f"{DATA}/sf0.1/labels.parquet"), "doc_id").collect()

@@ -9,7 +9,8 @@ Words are runs of ASCII letters and digits and of bytes above 0x7F, with a leadi
 of over SEGMENT bytes are scored in consecutive parts of that length, every byte of them.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; ties go to the first language in order;
-without any labelled row every text is ``und``; rows that repeat are predicted each; other columns are ignored.
+without any labelled row every text is ``und``; rows that repeat are predicted each, and learned from once: of texts
+with one doc_id and language the least; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -198,10 +199,11 @@ def fit(labelled: DataFrame, path: str, documents: int = SAMPLE_DOCUMENTS, words
     """A model from labelled rows (doc_id, text, lang): of each language ``documents`` rows, picked by a hash."""
     usable = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("_pick", F.xxhash64("doc_id", F.lit("langid")))
     picked = Window.partitionBy("lang").orderBy("_pick", "doc_id")
-    ids = usable.select("doc_id", "lang", "_pick").withColumn("_n", F.row_number().over(picked)).filter(F.col("_n") <= documents)
+    # One text per id and language, so that an id that many rows have neither fills the sample nor outgrows it.
+    ids = usable.select("doc_id", "lang", "_pick").distinct().withColumn("_n", F.row_number().over(picked)).filter(F.col("_n") <= documents)
     counts: dict[str, Counter] = {}
-    chosen = usable.drop("lang", "_pick").join(F.broadcast(ids.select("doc_id", "lang")), "doc_id").select("lang", "text")
-    for lang, text in chosen.toLocalIterator():
+    chosen = usable.join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    for _, lang, text in chosen.toLocalIterator():
         raw = np.frombuffer(text.encode(), np.uint8)
         texts = Texts(raw, np.array([0, len(raw)]))
         starts, ends, _ = segments(texts)

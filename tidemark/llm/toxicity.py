@@ -10,7 +10,7 @@ with evidence and takes a power of that matrix for each gap between them: exact,
 A document's score is a logistic function of its marginals' sum and maximum, fitted on the same sample.
 
 Defined cases: empty and null texts get the score of no evidence; rows that repeat are scored each; labels that
-repeat count as toxic if any is; null labels are not used; without both labels in the sample every score is 0.
+repeat count as toxic if any is; null labels are not used; of texts with one doc_id the least is learned from; without both labels in the sample every score is 0.
 """
 
 from __future__ import annotations
@@ -280,8 +280,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS,
     for label in (0, 1):
         own = by_doc.filter(F.col("_toxic") == label).orderBy(pick, "doc_id").limit(sample if label else sample + more)
         ids = own if ids is None else ids.unionByName(own)
-    chosen = documents.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "_toxic")
-    rows = sorted(chosen.toLocalIterator())
+    # One text per id, so that an id that many rows have does not outgrow the sample.
+    chosen = documents.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
+    rows = sorted(chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_toxic").alias("_toxic")).toLocalIterator())
     toxic, clean = ([r[1] for r in rows if bool(r[2]) is label] for label in (True, False))
     own, rest = clean[:sample], clean[sample:]
     return fit_texts([*toxic, *own], np.array([1] * len(toxic) + [0] * len(own)), rest)
