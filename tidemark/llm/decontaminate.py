@@ -84,10 +84,20 @@ def index(documents: DataFrame, anchors: DataFrame) -> DataFrame:
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), words(F.col("text")).alias("w")
     )
-    each = rows.select("doc_id", "text_key", "w", F.posexplode_outer("w").alias("pos", "word"))
     reach = anchors.select("term", "before", "after")
-    met = each.join(small(reach, reach.count()), F.lower("word") == F.col("term"), "left")
-    kept = met.filter("term IS NOT NULL OR pos IS NULL OR pos = 0")
+    if reach.count() <= BROADCAST_TERMS:
+        each = rows.select("*", F.posexplode_outer("w").alias("pos", "word"))
+        met = each.join(F.broadcast(reach), F.lower("word") == F.col("term"), "left")
+        kept = met.filter("term IS NOT NULL OR pos IS NULL OR pos = 0")
+    else:
+        # Places are found by words alone, so that no word of the shuffle carries its document.
+        each = rows.select("doc_id", "text_key", F.posexplode("w").alias("pos", "word"))
+        met = each.join(reach, F.lower("word") == F.col("term")).groupBy("doc_id", "text_key").agg(
+            F.collect_set(F.struct("pos", "term", "before", "after")).alias("places")
+        )
+        d, m = rows.alias("d"), met.alias("m")
+        own = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.text_key") == F.col("m.text_key"))
+        kept = d.join(m, own, "left").select("d.*", F.explode_outer("m.places").alias("at")).select("doc_id", "text_key", "w", "at.*")
     low = F.greatest(F.col("pos") - F.col("before"), F.lit(0))
     near = F.slice("w", low + 1, F.col("pos") + F.col("after") - low + 1)
     return kept.select(
@@ -120,7 +130,7 @@ def scan(documents: DataFrame, items: DataFrame, n: int = PHRASE) -> DataFrame:
     anchors = rarest(staged(phrases(items, n)), documents)
     matched = phrase_matches(staged(index(documents, anchors)), anchors)
     by_doc = matched.groupBy("doc_id", "text_key").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list(F.when(F.size("matches") > 0, F.col("matches")))).alias("matches")
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_set(F.when(F.size("matches") > 0, F.col("matches")))).alias("matches")
     )
     spans = F.array_sort(F.array_distinct(F.transform("matches", lambda m: F.struct(m["low"].alias("low"), m["high"].alias("high")))))
     zero = F.struct(F.lit(0).alias("reach"), F.lit(0).cast("long").alias("hit"))

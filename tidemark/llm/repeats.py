@@ -129,8 +129,8 @@ def repeated_runs(documents: DataFrame, find: Find, payload: pa.DataType, payloa
 
 
 def attach(documents: DataFrame, covered: DataFrame) -> DataFrame:
-    """Every document with its covered ranges (doc_id, text_key, low, high) gathered in ``ranges``."""
-    ranges = covered.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    """Every document with its covered ranges (doc_id, text_key, low, high) gathered in ``ranges``; rows that repeat share them."""
+    ranges = covered.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
     rows, ranges = keyed(documents).alias("d"), ranges.alias("r")
     same = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.text_key") == F.col("r.text_key"))
     return rows.join(ranges, same, "left").select("d.doc_id", "d.text", "r.ranges")
