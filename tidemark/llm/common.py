@@ -36,6 +36,15 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete what :func:`staged` wrote, once nothing reads it any more."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are done with: its cleaner acts when the driver's heap is collected."""
     gc.collect()
