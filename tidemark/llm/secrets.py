@@ -63,10 +63,20 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     covered = _merged(base)
     begins = [s for s, _ in covered]
     weak = set()
+    # Searched in whole tokens, or a part that begins before a scope and reaches into it would be missed.
+    windows: list[tuple[int, int]] = []
     for low, high in scopes:
-        end_of_token = _SPACE.search(text, high)
+        if windows and high <= windows[-1][1]:
+            continue
+        if windows and low <= windows[-1][1]:
+            low = windows.pop()[0]
+        while low and not _SPACE.match(text, low - 1):
+            low -= 1
+        end = _SPACE.search(text, high)
+        windows.append((low, end.start() if end else len(text)))
+    for low, high in windows:
         for kind, pattern in (("key", _KEY), ("endpoint", _ENDPOINT)):
-            weak.update((m.start(), kind, m.end()) for m in pattern.finditer(text, low, end_of_token.start() if end_of_token else len(text)))
+            weak.update((m.start(), kind, m.end()) for m in pattern.finditer(text, low, high))
     # Disjoint intervals: only the last that starts before a candidate's end can reach it.
     weak = {w for w in weak if not (at := bisect_left(begins, w[2])) or covered[at - 1][1] <= w[0]}
     parts = sorted([(s, k, e) for s, k, e in base if k != "access"] + list(weak), key=_order)
