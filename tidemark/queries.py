@@ -97,10 +97,10 @@ _text_query(
 _text_query("ohlcv_empty", "SELECT * FROM nothing WHERE {t} GROUP BY :1h AGGREGATE OHLCV", _bars(f"symbol = 'nothing' AND {RANGE}", HOUR))
 
 
-def _flat(value: str) -> str:
+def _flat(value: str, where: str = CLICK) -> str:
     return f"""SELECT "timestamp" // {HOUR} * {HOUR} AS "timestamp", symbol, CAST(0 AS DOUBLE) AS open,
  CAST(0 AS DOUBLE) AS high, CAST(0 AS DOUBLE) AS low, CAST({value} AS DOUBLE) AS close, CAST({value} AS BIGINT) AS volume
- FROM ticks WHERE {CLICK} GROUP BY symbol, "timestamp" // {HOUR} * {HOUR}"""
+ FROM ticks WHERE {where} GROUP BY symbol, "timestamp" // {HOUR} * {HOUR}"""
 
 
 _text_query("volume_sum_1h", "SELECT * FROM click WHERE {t} GROUP BY :1h AGGREGATE SUM", _flat("sum(volume)"))
@@ -161,6 +161,46 @@ def vwap_range_compat(spark, sf_dir):
     return bars.range_vwap(scan.range_scan(events(spark, sf_dir, START, END), "click", START, END), "click", exact=True)
 
 
+# The same bars and scans over whole tables: the grammar wants a range, so it gets one that all timestamps are in.
+EVER = 2**63 - 1
+
+
+def _whole_query(name: str, text: str, oracle: str) -> None:
+    @register(name, oracle)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return plan(events(spark, sf_dir).drop(SEQ), text.format(t=f"timestamp BETWEEN 0 AND {EVER}"))
+
+
+for _unit, _width in {"s": SECOND, "m": MINUTE, "h": HOUR}.items():
+    _whole_query(f"ohlcv_1{_unit}_whole", f"SELECT * FROM click WHERE {{t}} GROUP BY :1{_unit} AGGREGATE OHLCV", _bars("symbol = 'click'", _width))
+for _name, _aggregate, _value in (("volume_sum", "SUM", "sum(volume)"), ("tick_count", "COUNT", "count(*)")):
+    _whole_query(f"{_name}_1h_whole", f"SELECT * FROM click WHERE {{t}} GROUP BY :1h AGGREGATE {_aggregate}", _flat(_value, "symbol = 'click'"))
+
+
+@register("ohlcv_1h_all_symbols_whole", _bars("true", HOUR))
+def ohlcv_1h_all_symbols_whole(spark, sf_dir):
+    return bars.ohlcv(events(spark, sf_dir), HOUR)
+
+
+@register("tick_scan_all_symbols_whole", f"SELECT {ALL} FROM ticks")
+def tick_scan_all_symbols_whole(spark, sf_dir):
+    return scan.project(scan.range_scan(events(spark, sf_dir), None, 0, EVER), None)
+
+
+@register("count_whole", "SELECT count(*) AS n FROM ticks WHERE symbol = 'click'")
+def count_whole(spark, sf_dir):
+    return scan.count_range(events(spark, sf_dir), "click", 0, EVER)
+
+
+@register(
+    "vwap_whole_compat",
+    f"""SELECT "timestamp", 'click' AS symbol, {_FOUR}, volume FROM (SELECT min("timestamp") AS "timestamp",
+ {_EXACT} AS vwap, CAST(sum(volume) AS BIGINT) AS volume FROM ticks WHERE symbol = 'click')""",
+)
+def vwap_whole_compat(spark, sf_dir):
+    return bars.range_vwap(scan.range_scan(events(spark, sf_dir), "click", 0, EVER), "click", exact=True)
+
+
 _SHIFT = BASE + 15 * DAY
 
 
