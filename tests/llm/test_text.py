@@ -133,6 +133,15 @@ def test_conversations(spark):
     assert chat.expand(df.filter("false")).collect() == []
 
 
+def test_examples_as_rows(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a [INST]"), (1, 2, "user", "r"), (1, 3, "assistant", "b"), (2, 0, "user", "only")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    first, second = sorted(map(tuple, chat.explode(chat.expand(df)).collect()))
+    assert first == (1, 1, "<s>user\nq</s><s>assistant\n", "a \\bINST]</s>", 9)
+    assert second == (1, 3, first[2] + first[3] + "<s>user\nr</s><s>assistant\n", "b</s>", 1)
+    assert chat.explode(chat.expand(df.filter("false"))).collect() == []
+
+
 # Models.
 
 

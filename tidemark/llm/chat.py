@@ -3,7 +3,7 @@
 A conversation is formatted once; every assistant turn is then one example: the formatted text up to the end of that
 turn is its context and target, and only the reply's characters are trainable. Examples are stored as offsets into
 the shared text, so a conversation of n turns takes space in proportion to n and not to its square;
-:func:`materialise` writes them out in full, one at a time.
+:func:`materialise` writes them out in full, one at a time, and :func:`explode` as rows.
 
 Template: each turn is ``<s>role``, a line break, the text, ``</s>``. Control strings inside roles and texts are
 escaped with a backslash and a letter, so no control string occurs in an escaped text and :func:`unescape` gives back
@@ -108,3 +108,33 @@ def expand(conversations: DataFrame) -> DataFrame:
         yield batch()
 
     return ordered.mapInArrow(run, SCHEMA)
+
+
+EXAMPLES = "conv_id long, turn int, context string, target string, n_trained long"
+
+
+def explode(expanded: DataFrame) -> DataFrame:
+    """One row per assistant turn of what :func:`expand` gives: all that precedes the reply, the reply with its end
+    mark, and how many characters of it are trainable; those of the context are not. Rows are streamed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64())
+        out: list[tuple] = []
+        size = 0
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in EXAMPLES.split(", ")])
+
+        for b in batches:
+            for conv_id, text, examples in zip(*(b.column(n).to_pylist() for n in ("conv_id", "formatted", "examples")), strict=True):
+                spans = [(e["turn"], e["end"], e["target_start"], e["target_end"]) for e in examples]
+                for (turn, *_), (whole, start, stop) in zip(spans, materialise(text, spans), strict=True):
+                    out.append((conv_id, turn, whole[:start], whole[start:], stop - start))
+                    size += len(whole)
+                    if size > 4 << 20:
+                        yield batch()
+                        out, size = [], 0
+        yield batch()
+
+    return expanded.mapInArrow(run, EXAMPLES)
