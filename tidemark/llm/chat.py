@@ -5,13 +5,13 @@ turn is its context and target, and only the reply's characters are trainable. E
 the shared text, so a conversation of n turns takes space in proportion to n and not to its square;
 :func:`materialise` writes them out in full, one at a time, and :func:`explode` as rows.
 
-Template: each turn is ``<s>role``, a line break, the text, ``</s>``. Control strings inside roles and texts are
-escaped with a backslash and a letter, so no control string occurs in an escaped text and :func:`unescape` gives back
-the original.
+Template: each turn is ``<s>role``, a line break, the text, ``</s>``. Control strings inside roles and texts, and line
+breaks inside roles, are escaped with a backslash and a letter, so no control string occurs in an escaped text and
+:func:`unescape` gives back the original.
 
 Defined cases: rows are ordered by turn, then role, then text, nulls first; a null text is empty, a null role is the
-role ``unknown``; rows that repeat are turns of their own; a null conv_id is a conversation; columns other than conv_id, turn, role and
-text are ignored; an empty table gives no rows.
+role ``unknown``; rows that repeat are turns of their own; a null conv_id is a conversation; a very long text is a turn like
+others; columns other than conv_id, turn, role and text are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _ESCAPES = {"\\": "\\\\", "<": "\\l", "[": "\\b"}
 _TO_ESCAPE = re.compile(r"\\|<(?=/?s>|</?SYS>>)|\[(?=/?INST\])")
 _ESCAPED = re.compile(r"\\(.)")
-_BACK = {"\\": "\\", "l": "<", "b": "["}
+_BACK = {"\\": "\\", "l": "<", "b": "[", "n": "\n"}
 
 SCHEMA = "conv_id long, formatted string, examples array<struct<turn: int, end: long, target_start: long, target_end: long>>"
 
@@ -39,6 +39,10 @@ def escape(text: str) -> str:
     return _TO_ESCAPE.sub(lambda m: _ESCAPES[m[0]], text)
 
 
+def escape_role(role: str) -> str:
+    return escape(role).replace("\n", "\\n")
+
+
 def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: _BACK[m[1]], text)
 
@@ -47,7 +51,7 @@ def format_conversation(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[i
     """The formatted text and, for each assistant turn: its number, where it ends, and its reply's span."""
     parts, examples, at = [], [], 0
     for number, (role, text) in enumerate(turns):
-        head, body = f"{OPEN}{escape(role)}\n", escape(text)
+        head, body = f"{OPEN}{escape_role(role)}\n", escape(text)
         start = at + len(head)
         at = start + len(body) + len(CLOSE)
         parts += [head, body, CLOSE]

@@ -1,53 +1,63 @@
 """Jaccard self-join of documents on word n-grams by the chosen-path method.
 
-A document is its set of 5-word shingles (all its words as one, if fewer). Documents with one set are one *node*. A
-node's sketch holds one sampled shingle per coordinate, the least under a hash: two sets share a coordinate's token
-with probability equal to their similarity. Chosen paths split nodes recursively: each run starts from its own coordinates;
-nodes that share the token at a path's coordinate are a bucket; a bucket of no more than BUCKET nodes is compared by
-brute force, on sketches, and a larger one is split again on BRANCHES further sampled coordinates. Runs are repeated
-until a pair at the threshold is met with the target recall. A large bucket that keeps most of its nodes in a split,
-or is still large after DEPTH of them, holds sets that are alike; its nodes go into one candidate group uncompared.
-
-Candidate groups, not pairs, are then verified on whole shingle sets: within a group all pairs are compared, block
-against block, so no task holds more than two blocks; a task returns its nodes' numbers of links and a spanning
-forest, never the pairs. The components of the verified links are the classes. Similarities are exact; what a run can miss is a pair
-that shares no bucket and no group.
+A document is its set of 5-word shingles (all its words as one, if fewer). Documents with one set are one *node*; sets are
+equal if 128 bits of fingerprint are. A node's sketch holds least hashes of its shingles: 32 of them, in full, choose
+paths (two sets share one with probability equal to their similarity), and 4 bits each of 256 others, its *filter*,
+estimate similarities. Chosen paths split nodes recursively: each run starts from its own coordinates; nodes that
+share the token at a path's coordinate are a bucket; a bucket of no more than BUCKET nodes is compared by brute
+force, on filters, and a larger one is split again on BRANCHES more coordinates that its path has not used. Runs are
+repeated until a pair at the threshold is met with the target recall. Only a large bucket most of whose nodes have a
+filter like its representative's is not split: it holds near copies, which no split parts, and becomes a candidate
+group. Documents that share a template but are less alike are split until their buckets are small.
+
+Candidate groups (components of the pairs whose filters agree) are then verified on whole shingle sets: within a
+group all pairs are compared, block against block, each once, so no task holds more than two blocks; a task returns its
+nodes' numbers of links and a spanning forest, never the pairs. The components of the verified links are the classes. Similarities are
+exact; what a run can miss is a pair that shares no bucket and no group, or whose filters agree by four standard
+deviations less than a pair's at the threshold.
 
 Defined cases: null texts and texts without a word have no shingles, no links and a class of their own; rows that
 repeat are documents that link to one another; class_id is the smallest doc_id of the class, null if it has none;
-other columns are ignored; an empty table gives no rows.
+ties in size or similarity need no order; very long texts are sets like others, and blocks are bounded by tokens; other
+columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ALNUM, Prefix, Texts, chunks, mix, release, staged, text_key, without
+from tidemark.llm.common import ALNUM, Texts, chunks, code_hasher, discard, fresh, mix, pair, release, staged, text_key, window_names, without
 from tidemark.llm.graph import components
 from tidemark.llm.repeats import bitmap, passes
 
 SHINGLE = 5
 THRESHOLD = 0.8
 TARGET_RECALL = 0.9999
-COORDINATES = 64
+COORDINATES = 32
 BRANCHES = 2
-DEPTH = 5
-BUCKET = 128
-# A large bucket that a split leaves with this part of its nodes holds sets alike, and is not split again.
-ALIKE = 0.7
-BLOCK = 384
-# Sketches of a pair at the threshold agree this much at least, but for one pair in millions (five standard deviations).
-_AGREE = math.floor(COORDINATES * (THRESHOLD - 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDINATES)))
+BUCKET = 512
+# Path coordinates are used up by then; what is still large becomes a group.
+DEPTH = 24
+# A large bucket is a group if this part of its nodes have filters that agree with its representative's.
+ALIKE = 0.6
+# Blocks of a group by nodes and by tokens.
+BLOCK = 1024
+BLOCK_TOKENS = 400_000
+FILTER = 256
+# Filters agree where tokens do, and in one of 16 other cases; four standard deviations less than at the threshold.
+_CHANCE = THRESHOLD + (1 - THRESHOLD) / 16
+_AGREE = math.floor(FILTER * (_CHANCE - 4 * math.sqrt(_CHANCE * (1 - _CHANCE) / FILTER)))
 
 _rng = np.random.Generator(np.random.PCG64(977))
-_FACTORS = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MASKS = _rng.integers(0, 2**64, COORDINATES, dtype=np.uint64)
+_FACTORS = _rng.integers(0, 2**31, COORDINATES + FILTER, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_MASKS = _rng.integers(0, 2**32, COORDINATES + FILTER, dtype=np.uint32)
 
 
 def recall(runs: int, threshold: float = THRESHOLD) -> float:
@@ -69,7 +79,10 @@ def shingle_sets(texts: Texts, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
     count = np.where(size >= n, size - n + 1, np.minimum(size, 1))
     document = np.repeat(np.arange(len(texts)), count)
     first = bounds[:-1][document] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    hashes = Prefix(codes).of(first, np.minimum(first + n, bounds[1:][document]))
+    short = size[document] < n
+    hashes = np.empty(len(first), np.uint64)
+    hashes[~short] = window_names(codes, n)[first[~short]]
+    hashes[short] = code_hasher(codes)(first[short], bounds[1:][document[short]])
     order = np.lexsort((hashes, document))
     hashes, document = hashes[order], document[order]
     new = np.ones(len(hashes), dtype=bool)
@@ -77,38 +90,81 @@ def shingle_sets(texts: Texts, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
     return hashes[new], np.searchsorted(document[new], np.arange(len(texts) + 1))
 
 
-def sketches(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A row of COORDINATES least hashes for every set; none may be empty."""
-    out = np.empty((len(bounds) - 1, COORDINATES), np.uint32)
-    if len(out):
-        for k in range(COORDINATES):
-            out[:, k] = np.minimum.reduceat(((tokens ^ _MASKS[k]) * _FACTORS[k]) >> np.uint64(32), bounds[:-1])
-    return out
+def sketches(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every set a row of COORDINATES least hashes, and its filter as bytes; none may be empty."""
+    n = len(bounds) - 1
+    least = np.empty((n, COORDINATES), np.uint32)
+    low = np.empty((n, FILTER), np.uint8)
+    if n:
+        small = (tokens >> np.uint64(32)).astype(np.uint32)
+        for k in range(COORDINATES + FILTER):
+            value = np.minimum.reduceat((small ^ _MASKS[k]) * _FACTORS[k], bounds[:-1])
+            if k < COORDINATES:
+                least[:, k] = value
+            else:
+                # The least values are small numbers: their bits are scrambled before some are kept.
+                low[:, k - COORDINATES] = (value * np.uint32(0x9E3779B1)) >> np.uint32(28)
+    return least, low[:, ::2] | low[:, 1::2] << np.uint8(4)
 
 
-def children(paths: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """The paths that each path of a set goes on to: one row of BRANCHES per path."""
-    out = np.empty((len(paths), BRANCHES), np.uint64)
-    for k in range(BRANCHES):
-        coordinate = (mix(paths + np.uint64(k + 1)) % np.uint64(COORDINATES)).astype(np.int64)
-        value = sketch[np.arange(len(paths)), coordinate].astype(np.uint64)
-        out[:, k] = mix(paths ^ mix(value | (coordinate.astype(np.uint64) << np.uint64(32))))
-    return out
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many places the filters in the rows of ``a`` and ``b`` (64-bit words) agree."""
+    apart = a ^ b
+    apart |= apart >> np.uint64(2)
+    apart |= apart >> np.uint64(1)
+    apart &= np.uint64(0x1111111111111111)
+    return FILTER - np.bitwise_count(apart).sum(axis=-1, dtype=np.int64)
 
 
-def roots(sketch: np.ndarray) -> np.ndarray:
-    """The first path of every run's branches; runs start from coordinates of their own."""
+def roots(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first path of every run's branches, and the coordinate that each has used; runs start from their own."""
     at = np.arange(RUNS * BRANCHES, dtype=np.uint64)
-    return mix(sketch[:, : len(at)].astype(np.uint64) | (at << np.uint64(32)) | np.uint64(1 << 60))
+    paths = mix(least[:, : len(at)].astype(np.uint64) | (at << np.uint64(32)) | np.uint64(1 << 60))
+    return paths, np.broadcast_to(np.uint64(1) << at, paths.shape)
 
 
-def _identity(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One 64-bit value per set, the same for equal sets."""
-    total = np.add.reduceat(mix(tokens), bounds[:-1]) if len(bounds) > 1 else np.zeros(0, np.uint64)
+def children(paths: np.ndarray, used: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The paths that each path of a set goes on to, a row of BRANCHES per path, and what those have used."""
+    out, marks = (np.empty((len(paths), BRANCHES), np.uint64) for _ in range(2))
+    taken = used.copy()
+    for k in range(BRANCHES):
+        at = mix(paths + np.uint64(k + 1)) % np.uint64(COORDINATES)
+        for _ in range(COORDINATES):
+            busy = (taken >> at) & np.uint64(1) == 1
+            if not busy.any():
+                break
+            at = np.where(busy, (at + np.uint64(1)) % np.uint64(COORDINATES), at)
+        taken |= np.uint64(1) << at
+        value = least[np.arange(len(paths)), at.astype(np.int64)].astype(np.uint64)
+        out[:, k] = pair(paths, mix(value | (at << np.uint64(32))))
+        marks[:, k] = used | (np.uint64(1) << at)
+    return out, marks
+
+
+def _identity(tokens: np.ndarray, bounds: np.ndarray, lane: int) -> np.ndarray:
+    """One 64-bit value per set and lane, the same for equal sets."""
+    if len(bounds) < 2:
+        return np.zeros(0, np.uint64)
+    total = np.add.reduceat(mix(tokens + np.uint64(lane + 1)), bounds[:-1])
     return mix(total + np.diff(bounds).astype(np.uint64))
 
 
-ROWS = "doc_id long, text_key long, node long, size long, sketch binary"
+ROWS = "doc_id long, text_key long, h1 long, h2 long, size long, paths binary, filter binary"
+
+
+def _signed(values: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(values).view(np.int64)
+
+
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """Rows of a matrix as binary values."""
+    raw = np.ascontiguousarray(rows)
+    width = raw.shape[1] * raw.itemsize
+    return pa.Array.from_buffers(pa.binary(width), len(raw), [None, pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def _matrix(column: pa.Array, dtype: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
 
 
 def rows(documents: DataFrame) -> DataFrame:
@@ -120,39 +176,47 @@ def rows(documents: DataFrame) -> DataFrame:
                 tokens, bounds = shingle_sets(texts)
                 some = np.flatnonzero(np.diff(bounds))
                 own = np.append(bounds[some], bounds[-1])
-                node: list = [None] * len(texts)
-                size: list = [0] * len(texts)
-                sketch: list = [None] * len(texts)
-                made = sketches(tokens, own)
-                for i, n, s, k in zip(some.tolist(), _identity(tokens, own).view(np.int64).tolist(), np.diff(own).tolist(), made, strict=True):
-                    node[i], size[i], sketch[i] = n, s, k.tobytes()
+                least, low = sketches(tokens, own)
+                # Places of the documents that have a set; the others take null.
+                at = np.full(len(texts), -1)
+                at[some] = np.arange(len(some))
+                index = pa.array(at, mask=at < 0)
+                made = (_signed(_identity(tokens, own, 0)), _signed(_identity(tokens, own, 1)), np.diff(own))
+                columns = [*(pa.array(c) for c in made), _fixed(least), _fixed(low)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(row, len(texts)) for c in ("doc_id", "text_key")), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(sketch, pa.binary())],
+                    [*(batch.column(c).slice(row, len(texts)) for c in ("doc_id", "text_key")), *(c.take(index) for c in columns)],
                     [c.split()[0] for c in ROWS.split(", ")],
                 )
 
     return documents.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text").mapInArrow(run, ROWS)
 
 
-def _sketch_matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES)
+PATHS = "path long, node long, used long"
 
 
-def _paths(first: bool):
-    """Rows (path, node, within: size of the bucket it splits) of the roots of sketches, or of the children of paths."""
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        paths, used = roots(_matrix(batch.column("paths"), np.uint32, COORDINATES))
+        node = np.repeat(batch.column("node").to_numpy(), paths.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(_signed(paths.ravel())), pa.array(node), pa.array(_signed(used.ravel()))], ["path", "node", "used"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sketch = _sketch_matrix(batch.column("sketch"))
-            if first:
-                made = roots(sketch)
-            else:
-                made = children(batch.column("path").to_numpy().view(np.uint64), sketch)
-            node = np.repeat(batch.column("node").to_numpy(), made.shape[1])
-            within = np.zeros(len(node), np.int64) if first else np.repeat(batch.column("n").to_numpy(), made.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(made.ravel().view(np.int64)), pa.array(node), pa.array(within)], ["path", "node", "within"])
 
-    return run
+SPLIT = "path long, node long, alike boolean, children array<struct<path: long, used: long>>"
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For nodes of large buckets: whether their filter agrees with the representative's, and the paths they go on to."""
+    kind = pa.struct([("path", pa.int64()), ("used", pa.int64())])
+    for batch in batches:
+        path, used = (batch.column(c).to_numpy() for c in ("path", "used"))
+        own, first = (_matrix(batch.column(c), np.uint64, FILTER // 16) for c in ("filter", "first"))
+        made, marks = children(path.view(np.uint64), used.view(np.uint64), _matrix(batch.column("paths"), np.uint32, COORDINATES))
+        pairs = pa.StructArray.from_arrays([pa.array(_signed(made.ravel())), pa.array(_signed(marks.ravel()))], fields=list(kind))
+        offsets = pa.array(np.arange(len(path) + 1, dtype=np.int32) * BRANCHES)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("path"), batch.column("node"), pa.array(agreement(own, first) >= _AGREE), pa.ListArray.from_arrays(offsets, pairs)],
+            ["path", "node", "alike", "children"],
+        )
 
 
 class Forest:
@@ -175,21 +239,21 @@ class Forest:
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the pairs in buckets whose sketches agree enough; rows come sorted by path."""
+    """A spanning forest of the pairs in buckets whose filters agree enough; rows come sorted by path."""
 
     def edges(table: pa.Table) -> pa.RecordBatch:
         path, node, size = (table.column(c).to_numpy() for c in ("path", "node", "size"))
-        sketch = _sketch_matrix(table.column("sketch").combine_chunks())
+        low = _matrix(table.column("filter").combine_chunks(), np.uint64, FILTER // 16)
         forest, left, right = Forest(len(path)), [], []
         for lag in range(1, BUCKET):
             a = np.flatnonzero(path[lag:] == path[:-lag])
             if not len(a):
                 break
             b = a + lag
-            fits = (size[a] >= THRESHOLD * size[b]) & (size[b] >= THRESHOLD * size[a])
+            fits = (5 * size[a] >= 4 * size[b]) & (5 * size[b] >= 4 * size[a])
             a, b = a[fits], b[fits]
-            agree = (sketch[a] == sketch[b]).sum(axis=1) >= _AGREE
-            for x, y in zip(a[agree].tolist(), b[agree].tolist(), strict=True):
+            near = agreement(low[a], low[b]) >= _AGREE
+            for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
                 if forest.join(x, y):
                     left.append(x)
                     right.append(y)
@@ -205,8 +269,7 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             path = table.column("path").to_numpy()
             cut = int(np.searchsorted(path, path[-1]))
             yield edges(table.slice(0, cut))
-            rest = table.slice(cut).combine_chunks().to_batches()
-            held, n = rest, len(path) - cut
+            held, n = table.slice(cut).combine_chunks().to_batches(), len(path) - cut
     if n:
         yield edges(pa.Table.from_batches(held))
 
@@ -214,40 +277,66 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def candidate_groups(nodes: DataFrame) -> DataFrame:
     """node, component: nodes that some run's recursion brought together, by component."""
     spark = nodes.sparkSession
-    edges = None
-    members = staged(nodes.select("node", "sketch").mapInArrow(_paths(True), "path long, node long, within long"))
+    edges: list[DataFrame] = []
+    members = staged(nodes.select("node", "paths").mapInArrow(_roots, PATHS))
+    # Nodes of large buckets, with their sketches; deeper ones are among those of the first split.
+    held = nodes
     for depth in range(1, DEPTH + 1):
-        sizes = members.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.min("within").alias("within"))
-        alike = (F.col("within") > 0) & (F.col("n") >= ALIKE * F.col("within")) | F.lit(depth == DEPTH)
-        sizes = staged(sizes.filter("n > 1").select("path", "n", "least", alike.alias("alike")))
-        small = members.join(sizes.filter(F.col("n") <= BUCKET).select("path"), "path").join(nodes.select("node", "size", "sketch"), "node")
-        found = small.repartition("path").sortWithinPartitions("path", "node").mapInArrow(_bucket_edges, "a long, b long")
-        large = members.select("path", "node").join(sizes.filter(F.col("n") > BUCKET), "path")
-        found = staged(found.unionByName(large.filter("alike").select(F.col("node").alias("a"), F.col("least").alias("b"))))
-        edges = found if edges is None else edges.unionByName(found)
-        if sizes.filter((F.col("n") > BUCKET) & ~F.col("alike")).isEmpty():
+        sizes = staged(members.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1"))
+        small = members.select("path", "node").join(sizes.filter(F.col("n") <= BUCKET).select("path"), "path")
+        small = small.join(held.select("node", "size", "filter"), "node")
+        edges.append(staged(small.repartition("path").sortWithinPartitions("path", "node").mapInArrow(_bucket_edges, "a long, b long")))
+        large = sizes.filter(F.col("n") > BUCKET)
+        if large.isEmpty():
+            discard(members, sizes)
             break
-        extended = large.filter("NOT alike").select("path", "node", "n").join(nodes.select("node", "sketch"), "node")
-        members = staged(extended.mapInArrow(_paths(False), "path long, node long, within long").distinct())
+        inside = staged(members.join(large.select("path"), "path"))
+        if depth == 1:
+            held = staged(nodes.join(inside.select("node").distinct(), "node", "left_semi").select("node", "size", "paths", "filter"))
+        first = large.select("path", F.col("least").alias("node")).join(held.select("node", F.col("filter").alias("first")), "node").select("path", "first")
+        met = inside.join(first, "path").join(held.select("node", "paths", "filter"), "node")
+        split = staged(met.mapInArrow(_split, SPLIT))
+        near = split.groupBy("path").agg(F.avg(F.col("alike").cast("int")).alias("part"))
+        whole = large.join(near.filter((F.col("part") >= ALIKE) | F.lit(depth == DEPTH)), "path").select("path", "least")
+        whole = staged(whole)
+        edges.append(staged(split.select("path", "node").join(whole, "path").select(F.col("node").alias("a"), F.col("least").alias("b"))))
+        on = split.join(whole, "path", "left_anti").select("node", F.explode("children").alias("c")).select("c.path", "node", "c.used")
+        on = staged(on)
+        discard(members, sizes, inside, split, whole)
+        members = on
         release(spark)
-    return components(edges)
+    if held is not nodes:
+        discard(held)
+    groups = components(reduce(DataFrame.unionByName, edges))
+    discard(*edges)
+    return groups
+
+
+def _source() -> F.Column:
+    """Tells rows apart, but for those that repeat."""
+    return F.xxhash64(F.col("doc_id").cast("long"), text_key())
 
 
 def token_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, tokens (ascending): the sets of the given nodes, read from the texts again."""
-    wanted = documents.sparkSession.sparkContext.broadcast(bitmap(nodes.select("node")))
+    """node, tokens (ascending): the sets of the given nodes (node, h1, h2, source), read again from one text each."""
+    wanted = documents.sparkSession.sparkContext.broadcast(bitmap(nodes.select("source")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in chunks(batch.column("text")):
+            keep = np.flatnonzero(passes(wanted.value, batch.column("source").to_numpy().view(np.uint64)))
+            chosen = batch.take(pa.array(keep))
+            for row, texts in chunks(chosen.column("text")):
                 tokens, bounds = shingle_sets(texts)
                 some = np.flatnonzero(np.diff(bounds))
-                identity = _identity(tokens, np.append(bounds[some], bounds[-1]))
-                keep = passes(wanted.value, identity)
-                sets = [tokens[bounds[i] : bounds[i + 1]].view(np.int64) for i in some[keep].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(identity[keep].view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], ["node", "tokens"])
+                own = np.append(bounds[some], bounds[-1])
+                made = [_signed(_identity(tokens, own, lane)) for lane in (0, 1)]
+                sets = pa.ListArray.from_arrays(pa.array(own - own[0], pa.int32()), pa.array(_signed(tokens)))
+                source = chosen.column("source").slice(row, len(texts)).take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([source, pa.array(made[0]), pa.array(made[1]), sets], ["source", "h1", "h2", "tokens"])
 
-    return documents.select("text").mapInArrow(run, "node long, tokens array<long>").dropDuplicates(["node"])
+    found = documents.select(_source().alias("source"), "text").mapInArrow(run, "source long, h1 long, h2 long, tokens array<long>")
+    key = ["source", "h1", "h2"]
+    return found.dropDuplicates(key).join(nodes.select("node", *key), key).select("node", "tokens")
 
 
 def similar_pairs(sets: list[np.ndarray], cut: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -264,9 +353,10 @@ def similar_pairs(sets: list[np.ndarray], cut: int | None) -> tuple[np.ndarray,
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     slab = 4096
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, slab):
+    last = int(column[-1]) + 1 if len(column) else 0
+    for low in range(0, last, slab):
         part = slice(*np.searchsorted(column, [low, low + slab]))
-        held = np.zeros((len(sets), slab), np.float32)
+        held = np.zeros((len(sets), min(slab, last - low)), np.float32)
         held[owner[part], column[part] - low] = 1
         common += held @ held.T
     joined = size[:, None] + size[None, :] - common
@@ -283,11 +373,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Rows come sorted by (component, first, second, block).
     """
+    out: list[list[np.ndarray]] = [[], [], []]
 
-    def links(held: list[tuple]) -> pa.RecordBatch:
+    def add(held: list[tuple]) -> None:
         _, first, second, block, node, copies, tokens = zip(*held, strict=True)
         cut = None if first[0] == second[0] else sum(b == first[0] for b in block)
-        a, b = similar_pairs([np.asarray(t, np.int64) for t in tokens], cut)
+        a, b = similar_pairs(list(tokens), cut)
         weight = np.array(copies, np.int64)
         linked = np.bincount(a, weight[b], len(node)) + np.bincount(b, weight[a], len(node))
         forest = Forest(len(node))
@@ -295,22 +386,31 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.array(node, np.int64)
         hit = np.flatnonzero(linked)
         left, right = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([ids[hit], ids[left]])), pa.array(np.concatenate([linked[hit].astype(np.int64), np.zeros(len(left), np.int64)])),
-             pa.array(np.concatenate([ids[hit], ids[right]]))], ["a", "links", "b"],
-        )
+        out[0] += [ids[hit], ids[left]]
+        out[1] += [linked[hit].astype(np.int64), np.zeros(len(left), np.int64)]
+        out[2] += [ids[hit], ids[right]]
+
+    def flush() -> pa.RecordBatch:
+        made = [pa.array(np.concatenate([np.zeros(0, np.int64), *c])) for c in out]
+        for c in out:
+            c.clear()
+        return pa.RecordBatch.from_arrays(made, ["a", "links", "b"])
 
     held: list[tuple] = []
     for batch in batches:
         columns = [batch.column(c) for c in ("component", "first", "second", "block", "node", "copies")]
+        values, ends = batch.column("tokens").values.to_numpy(), batch.column("tokens").offsets.to_numpy()
         for i, row in enumerate(zip(*(c.to_pylist() for c in columns), strict=True)):
             if held and held[0][:3] != row[:3]:
                 if len(held) > 1:
-                    yield links(held)
+                    add(held)
                 held = []
-            held.append((*row, batch.column("tokens")[i].values.to_numpy()))
+            held.append((*row, values[ends[i] : ends[i + 1]]))
+        if len(out[0]) > 2000:
+            yield flush()
     if len(held) > 1:
-        yield links(held)
+        add(held)
+    yield flush()
 
 
 def join(documents: DataFrame) -> DataFrame:
@@ -318,30 +418,37 @@ def join(documents: DataFrame) -> DataFrame:
     null without shingles) and first, whether it is its class's first (class_id and, of several texts of that id, one)."""
     spark = documents.sparkSession
     every = staged(rows(documents))
-    nodes = staged(every.filter("node IS NOT NULL").groupBy("node").agg(
-        F.first("size").alias("size"), F.min("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id")
-    ))
+    sets = every.filter("h1 IS NOT NULL").withColumn("source", F.xxhash64("doc_id", "text_key")).groupBy("h1", "h2").agg(
+        F.first("size").alias("size"), F.first("paths").alias("paths"), F.first("filter").alias("filter"),
+        F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id"), F.min("source").alias("source"),
+    )
+    # Numbers of nodes: unique, and in no order.
+    nodes = staged(sets.withColumn("node", F.xxhash64(F.monotonically_increasing_id())))
     release(spark)
     groups = candidate_groups(nodes)
-    parts = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    member = groups.join(parts, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    member = member.join(nodes.select("node", "copies"), "node").join(token_sets(documents, groups), "node")
+    known = staged(groups.join(nodes.select("node", "h1", "h2", "source", "size", "copies"), "node"))
+    by_tokens, by_nodes = F.sum("size") / F.lit(BLOCK_TOKENS), F.count(F.lit(1)) / F.lit(BLOCK)
+    parts = known.groupBy("component").agg(F.ceil(F.greatest(by_tokens, by_nodes)).cast("int").alias("blocks"))
+    member = known.select("component", "node", "copies").join(parts, "component")
+    member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(token_sets(documents, known), "node")
     paired = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "component", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "node", "copies", "tokens"
     )
     key = ("component", "first", "second")
     verified = staged(paired.repartition(*key).sortWithinPartitions(*key, "block", "node").mapInArrow(_verify, "a long, links long, b long"))
+    discard(groups, known)
     release(spark)
     links = verified.filter("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     labels = components(verified.filter("links = 0").select("a", "b"))
-    known = nodes.select("node", "copies", "least_id").join(labels, "node", "left").join(links, "node", "left")
-    known = staged(known.select("node", "copies", "least_id", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")))
-    classes = known.groupBy("component").agg(F.min(F.struct("least_id", "node")).alias("first"))
-    named = known.join(classes, "component").select(
-        "node", F.col("first.least_id").alias("class_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"),
+    named = nodes.select("node", "h1", "h2", "copies", "least_id").join(labels, "node", "left").join(links, "node", "left")
+    named = staged(named.select("node", "h1", "h2", "copies", "least_id", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")))
+    discard(nodes, labels, verified)
+    classes = named.groupBy("component").agg(F.min(F.struct("least_id", "node")).alias("first"))
+    classed = named.join(classes, "component").select(
+        "h1", "h2", "node", F.col("first.least_id").alias("class_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"),
         (F.col("first.node") == F.col("node")).alias("leads"),
     )
-    joined = every.select("doc_id", "text_key", "node").join(named, "node", "left")
+    joined = every.select("doc_id", "text_key", "h1", "h2").join(classed, ["h1", "h2"], "left")
     none = F.col("node").isNull()
     return joined.select(
         "doc_id", "text_key", F.when(none, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
@@ -357,4 +464,5 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     again = joined.filter("first AND node IS NOT NULL").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if again.isEmpty():
         return kept
-    return kept.withColumn("_key", text_key()).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    key = fresh(kept, "key")
+    return kept.withColumn(key, text_key()).dropDuplicates(["doc_id", key]).drop(key)

@@ -5,12 +5,13 @@ Pieces are packed by best-fit decreasing inside partitions of bounded size. Dual
 partition a lower bound on its number of sequences: a partition that meets its bound is certified, and its sequences
 stay. The others keep the sequences that are all but full and put the rest of their pieces in a pool; pools of several
 partitions are dealt anew, fewer pieces to fewer partitions, and packed again, until all are certified, one partition is left
-or the rounds are over.
+or a round saves no sequence.
 
 The pieces table holds numbers only, so exchanging documents moves some 20 bytes a piece and no text. A partition's
 size is a parameter and does not grow with the input.
 
-Defined cases: a null text is empty and gives the end id alone; repeated rows are packed each; a null doc_id is kept
+Defined cases: a null text is empty and gives the end id alone; repeated rows are packed each; pieces of one length
+are placed by key; a very long text is tokenized whole and gives as many pieces as it needs; a null doc_id is kept
 as it is; other columns are ignored; an empty table gives no pieces.
 """
 
@@ -30,7 +31,6 @@ from tidemark.llm.common import staged
 CAPACITY = 2048
 END_ID = 0
 PARTITION_PIECES = 100_000
-ROUNDS = 6
 # A sequence with no more than this part of its length free is not opened again.
 KEPT_GAP = 1 / 256
 CACHED_WORDS = 600_000
@@ -218,29 +218,33 @@ def _pack_partition(capacity: int, round_: int, last: bool):
     return run
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, rounds: int = ROUNDS) -> DataFrame:
-    """Sequence and offset of every item (piece_key, length): piece_key, sequence_id, offset."""
+def pack(items: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES) -> DataFrame:
+    """Sequence and offset of every item (piece_key, length): piece_key, sequence_id, offset, and of the partition that
+    settled it: its sequences and their lower bound (equal where it is certified)."""
+    columns = ("piece_key", "sequence_id", "offset", "sequences", "bound")
     whole = items.filter(F.col("length") == capacity).select(
-        "piece_key", (F.lit(1 << 62).cast("long") + F.col("piece_key") % F.lit(1 << 61)).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
-    )
+        "piece_key", (F.lit(1 << 62).cast("long") + F.col("piece_key") % F.lit(1 << 61)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
+        F.lit(1).cast("long").alias("sequences"), F.lit(1).cast("long").alias("bound"),
+    )
     done, pool = whole, items.filter(F.col("length") < capacity).select("piece_key", "length")
-    n = pool.count()
-    for round_ in range(rounds):
-        parts = max(1, -(-n // partition_pieces))
-        last = parts == 1 or round_ == rounds - 1
+    n, round_, before = pool.count(), 0, None
+    while n:
+        parts = -(-n // partition_pieces)
         dealt = pool.withColumn("pool", F.pmod(F.xxhash64("piece_key", F.lit(round_)), F.lit(parts)).cast("int"))
-        placed = staged(dealt.repartitionById(parts, F.col("pool")).mapInArrow(_pack_partition(capacity, round_, last), PLACED))
-        if last:
-            return done.unionByName(placed.select("piece_key", "sequence_id", "offset"))
-        done = done.unionByName(placed.filter("settled").select("piece_key", "sequence_id", "offset"))
-        pool = placed.filter("NOT settled").select("piece_key", "length")
-        n, before = pool.count(), n
-        if not n:
-            return done
+        placed = staged(dealt.repartitionById(parts, F.col("pool")).mapInArrow(_pack_partition(capacity, round_, parts == 1), PLACED))
+        if before is not None:
+            # Dealing anew must save sequences, or the last packing of these pieces stays and rounds end.
+            old, used = before.select("sequence_id").distinct().count(), placed.select("sequence_id").distinct().count()
+            if used >= old:
+                return done.unionByName(before.select(*columns))
+        done = done.unionByName(placed.filter("settled").select(*columns))
+        before = placed.filter("NOT settled")
+        pool = before.select("piece_key", "length")
+        n, round_ = pool.count(), round_ + 1
     return done
 
 
 def packed(documents: DataFrame, path: str) -> DataFrame:
-    """The pieces of all documents with their sequence and offset."""
+    """The pieces of all documents with their sequence and offset, and their partition's sequences and lower bound."""
     cut = staged(pieces(documents, path))
     return cut.join(pack(cut), "piece_key").drop("piece_key")

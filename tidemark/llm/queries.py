@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat, decontaminate, images, jaccard, langid, packing, recompression, secrets, suffixes, toxicity
-from tidemark.llm.common import documents, map_rows, prepare
+from tidemark.llm.common import documents, map_rows, prepare, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,14 +51,27 @@ def op9_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
 
+    expanded = staged(chat.expand(rows.unionByName(planted)))
+
     def digest(columns):
-        for conv_id, text, examples in zip(*columns, strict=True):
+        for conv_id, text in zip(*columns, strict=True):
             turns = chat.read_back(text)
-            loss = "".join(chat.unescape(text[e["target_start"] : e["target_end"]]) for e in examples)
-            yield conv_id, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)
+            yield conv_id, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(text)
+
+    def trained(columns):
+        for conv_id, turn, target, n in zip(*columns, strict=True):
+            yield conv_id, turn, chat.unescape(target[:n])
 
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return map_rows(chat.expand(rows.unionByName(planted)), digest, schema, "conv_id", "formatted", "examples")
+    turns = map_rows(expanded, digest, "conv_id long, n_turns long, turns_sha256 string, formatted_chars long", "conv_id", "formatted")
+    examples = map_rows(chat.explode(expanded), trained, "conv_id long, turn int, text string", "conv_id", "turn", "target", "n_trained")
+    loss = examples.groupBy(F.col("conv_id").alias("id")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda e: e["text"]), "").alias("loss")
+    )
+    all_loss = F.coalesce("loss", F.lit(""))
+    return turns.join(loss, F.col("conv_id").eqNullSafe(F.col("id")), "left").select(
+        "conv_id", "n_turns", "turns_sha256", F.char_length(all_loss).cast("long").alias("loss_chars"),
+        F.sha2(all_loss.cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
+    )
 
 
 def held_out() -> Column:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NON_SPACE, Prefix, Texts, mix, release, staged
+from tidemark.llm.common import NON_SPACE, Texts, cover_names, discard, mix, release, staged, window_names
 from tidemark.llm.repeats import Runs, attach, mask_of, repeated_runs, runs_of
 
 WINDOW = 35
@@ -174,10 +174,10 @@ def words_of(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 def find(texts: Texts, window: int = WINDOW) -> tuple[Runs, object]:
     """Runs of a chunk, and the window fingerprints of any of them."""
     _, _, codes, bounds = words_of(texts)
-    chosen, hashes = seeds(codes, bounds, window), Prefix(codes)
+    chosen, names = seeds(codes, bounds, window), window_names(codes, window)
     windows = np.zeros(len(codes), np.uint64)
+    windows[: len(names)] = names
     at = np.flatnonzero(chosen != 0)
-    windows[at] = hashes.of(at, at + window)
     order = at[np.argsort(windows[at], kind="stable")]
     # Equal windows of one run are neighbours in this order, for a run is contiguous.
     pairs = np.sort(order[1:][windows[order[1:]] == windows[order[:-1]]])
@@ -190,7 +190,7 @@ def find(texts: Texts, window: int = WINDOW) -> tuple[Runs, object]:
         out[np.searchsorted(first, own, side="right") - 1] = True
         return out
 
-    runs = runs_of(chosen, bounds, hashes, window, inner)
+    runs = runs_of(chosen, bounds, lambda starts, ends: cover_names(names, window, starts, ends), window, inner)
     signed = windows.view(np.int64)
 
     def fingerprints(runs: Runs, k: int) -> np.ndarray:
@@ -205,12 +205,12 @@ def repeated_words(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     found = repeated_runs(documents, partial(find, window=window), pa.list_(pa.int64()), "array<long>")
     at = ("doc_id", "text_key")
     whole = found.filter("same").select(*at, F.col("start").alias("low"), (F.col("start") + F.col("windows") - 1 + window).alias("high"))
-    single = found.filter("NOT same").select(*at, "start", F.posexplode("payload").alias("nth", "print"))
+    single = found.filter("NOT same").select(*at, "start", "seed", F.posexplode("payload").alias("nth", "print"))
     # Written first, so that both sides of the join are plain shuffles and a hot window's partition can be split.
-    again = staged(single.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print"))
+    again = staged(single.groupBy("seed", "print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed", "print"))
     release(documents.sparkSession)
     low = F.col("start") + F.col("nth")
-    parts = single.join(again, "print").select(*at, low.alias("low"), (low + window).alias("high"))
+    parts = single.join(again, ["seed", "print"]).select(*at, low.alias("low"), (low + window).alias("high"))
     return whole.unionByName(parts)
 
 

@@ -35,9 +35,9 @@ class Runs:
     inner: np.ndarray
 
 
-def runs_of(seeds: np.ndarray, bounds: np.ndarray, hashes, window: int, inner_of: Callable) -> Runs:
-    """Runs by seed; 0 means that no window starts there. ``inner_of`` tells of first and last windows whether the run
-    between them can hold two equal windows."""
+def runs_of(seeds: np.ndarray, bounds: np.ndarray, fingerprint: Callable, window: int, inner_of: Callable) -> Runs:
+    """Runs by seed; 0 means that no window starts there. ``fingerprint`` is of the content from starts to ends;
+    ``inner_of`` tells of first and last windows whether the run between them can hold two equal windows."""
     n = len(seeds)
     document = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     breaks = np.ones(n, dtype=bool)
@@ -46,7 +46,7 @@ def runs_of(seeds: np.ndarray, bounds: np.ndarray, hashes, window: int, inner_of
     count = np.diff(np.append(first, n))
     real = seeds[first] != 0
     first, count = first[real], count[real]
-    content = hashes.of(first, first + count - 1 + window)
+    content = fingerprint(first, first + count - 1 + window)
     own = document[first]
     return Runs(own, seeds[first], first - bounds[own], count, content, inner_of(first, first + count - 1))
 

@@ -4,14 +4,19 @@ Strong patterns (assignments, access identifiers, hexadecimal runs) are reported
 bare key-like token, a network endpoint or an account name, prove nothing alone: they are joined by position to the
 scope of an identifier and reported only where an identifier and a secret both lie in that scope.
 
-Offsets are code points, ends exclusive; the span of an assignment is the whole match. A null text is empty; repeated
-rows are scanned each; other columns are ignored.
+Scopes never cross documents, so the interval join of identifiers and parts is one of sorted lists inside a document.
+
+Offsets are code points, ends exclusive; the span of an assignment is the whole match.
+
+Defined cases: a null text is empty; repeated rows are scanned each; of spans that start together the kind listed first
+comes first; a very long text is searched whole, in time that grows with it and the spans found; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +32,6 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 KINDS = ("assign", "access", "hex", "account", "key", "endpoint")
 _RANK = {kind: i for i, kind in enumerate(KINDS)}
 SCOPE = 240
-_SPACE = re.compile(r"\s")
 _ACCOUNT = re.compile(r"""\b(?:user(?:name)?|login|account|client_id|access_key_id)["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9._@+-]{3,})""", re.I | re.A)
 _KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}")
 _ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{4,}|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{2,5})?\b", re.A)
@@ -51,44 +55,31 @@ def _order(span: Span) -> tuple[int, int, int]:
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
     """Weak parts inside the scope of an identifier that also has a secret in its scope.
 
-    The scope of an identifier is its span and SCOPE code points on each side. Candidates are sorted by start, so
-    each scope takes its candidates by bisection.
+    The scope of an identifier is its span and SCOPE code points on each side. Spans of one kind are disjoint, so
+    their starts and their ends are in one order, and each scope takes its parts by two bisections for each kind.
     """
-    strong_ids = [s for s in base if s[1] == "access"]
-    weak_ids = [(m.start(), "account", m.end()) for m in _ACCOUNT.finditer(text)]
-    if not strong_ids and not weak_ids:
+    identifiers = [s for s in base if s[1] == "access"] + [(m.start(), "account", m.end()) for m in _ACCOUNT.finditer(text)]
+    if not identifiers:
         return []
-    # Scopes merge where they overlap, so that text under many identifiers is searched once.
-    scopes = _merged([(max(0, s - SCOPE), k, min(len(text), e + SCOPE)) for s, k, e in strong_ids + weak_ids])
     covered = _merged(base)
     begins = [s for s, _ in covered]
-    weak = set()
-    # Searched in whole tokens, or a part that begins before a scope and reaches into it would be missed.
-    windows: list[tuple[int, int]] = []
-    for low, high in scopes:
-        if windows and high <= windows[-1][1]:
-            continue
-        if windows and low <= windows[-1][1]:
-            low = windows.pop()[0]
-        while low and not _SPACE.match(text, low - 1):
-            low -= 1
-        end = _SPACE.search(text, high)
-        windows.append((low, end.start() if end else len(text)))
-    for low, high in windows:
-        for kind, pattern in (("key", _KEY), ("endpoint", _ENDPOINT)):
-            weak.update((m.start(), kind, m.end()) for m in pattern.finditer(text, low, high))
-    # Disjoint intervals: only the last that starts before a candidate's end can reach it.
-    weak = {w for w in weak if not (at := bisect_left(begins, w[2])) or covered[at - 1][1] <= w[0]}
-    parts = sorted([(s, k, e) for s, k, e in base if k != "access"] + list(weak), key=_order)
-    starts = [p[0] for p in parts]
-    longest = max((e - s for s, _, e in parts), default=0)
+
+    def bare(span: Span) -> bool:
+        """Whether no base span overlaps: of disjoint ones only the last that starts before its end can."""
+        at = bisect_left(begins, span[2])
+        return not at or covered[at - 1][1] <= span[0]
+
+    parts = {kind: [s for s in base if s[1] == kind] for kind in ("assign", "hex")}
+    for kind, pattern in (("key", _KEY), ("endpoint", _ENDPOINT)):
+        parts[kind] = [s for m in pattern.finditer(text) if bare(s := (m.start(), kind, m.end()))]
+    edges = {kind: ([s for s, _, _ in spans], [e for _, _, e in spans]) for kind, spans in parts.items()}
     out = set()
-    for identifier in strong_ids + weak_ids:
+    for identifier in identifiers:
         low, high = identifier[0] - SCOPE, identifier[2] + SCOPE
-        inside = [p for p in parts[bisect_left(starts, low - longest) : bisect_left(starts, high)] if p[2] > low]
-        inside = [p for p in inside if not (p[0] < identifier[2] and identifier[0] < p[2])]
-        if any(p[1] in ("assign", "hex", "key") for p in inside):
-            out.update(p for p in [identifier, *inside] if p[1] in ("account", "key", "endpoint"))
+        near = {k: spans[bisect_right(edges[k][1], low) : bisect_left(edges[k][0], high)] for k, spans in parts.items()}
+        near = {k: [p for p in spans if p[2] <= identifier[0] or identifier[2] <= p[0]] for k, spans in near.items()}
+        if near["assign"] or near["hex"] or near["key"]:
+            out.update(near["key"], near["endpoint"], [identifier] if identifier[1] == "account" else [])
     return sorted(out, key=_order)
 
 

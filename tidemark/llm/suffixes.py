@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BYTE, Prefix, Texts, mix, release, staged
+from tidemark.llm.common import Texts, byte_names, cover_names, mix, release, staged
 from tidemark.llm.repeats import Runs, attach, mask_of, repeated_runs, runs_of
 
 WINDOW = 100
@@ -51,14 +51,15 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
 
 
-def seeds(texts: Texts, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte the least gram of the window that starts there (0: none does), and where it first stands."""
+def seeds(texts: Texts, window: int, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte the least gram (of those named) of the window that starts there, or 0 if none does, and where that
+    gram first stands."""
     n = len(texts.data)
     chosen, place = np.zeros(n, np.uint64), np.zeros(n, np.int64)
     if n < window:
         return chosen, place
-    at = np.arange(n - gram + 1)
-    grams = texts.hasher().of(at, at + gram) | np.uint64(1)
+    at, gram = np.arange(len(names)), n + 1 - len(names)
+    grams = names | np.uint64(1)
     bits = np.uint64(int(n).bit_length())
     least = sliding_least((grams >> bits << bits) | at.astype(np.uint64), window - gram + 1)
     where = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
@@ -71,9 +72,11 @@ def seeds(texts: Texts, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]
 
 def find(texts: Texts, window: int = WINDOW, gram: int = GRAM) -> tuple[Runs, object]:
     """Runs of a chunk, and the bytes of any of them."""
-    chosen, place = seeds(texts, window, gram)
+    names = byte_names(texts.data, gram)
+    chosen, place = seeds(texts, window, names)
     # Two equal windows have their least gram at the same offset, so it stands at two places of the run.
-    runs = runs_of(chosen, texts.offsets, texts.hasher(), window, lambda first, last: place[first] != place[last])
+    content_of = lambda starts, ends: cover_names(names, gram, starts, ends)
+    runs = runs_of(chosen, texts.offsets, content_of, window, lambda first, last: place[first] != place[last])
 
     def content(runs: Runs, k: int) -> bytes:
         first = texts.offsets[runs.document[k]] + runs.start[k]
@@ -100,7 +103,7 @@ class Forest:
         self.at = self.begin[self.run] + self.offset
         self.end = (self.begin + sizes)[self.run]
         # Suffixes that share the first window: candidates by fingerprint, settled by their bytes below.
-        prints = mix(Prefix(BYTE[self.data]).of(self.at, self.at + window) ^ buckets[self.run])
+        prints = mix(byte_names(self.data, window)[self.at] ^ buckets[self.run])
         by_print = np.argsort(prints, kind="stable")
         same = prints[by_print][1:] == prints[by_print][:-1]
         shared = np.zeros(len(prints), dtype=bool)
@@ -253,9 +256,9 @@ def _windows(window: int):
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "text_key", "payload")), strict=True):
                 raw = np.frombuffer(row[3], np.uint8)
-                at = np.arange(len(raw) - window + 1)
-                prints = Prefix(BYTE[raw]).of(at, at + window).view(np.int64)
-                n = len(at)
+                prints = byte_names(raw, window).view(np.int64)
+                n = len(prints)
+                at = np.arange(n)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(prints), pa.array([row[0]] * n, pa.int64()), pa.array(np.full(n, row[2])), pa.array(at + row[1])],
                     ["print", "doc_id", "text_key", "at"],

@@ -10,7 +10,9 @@ with evidence and takes a power of that matrix for each gap between them: exact,
 A document's score is a logistic function of its marginals' sum and maximum, fitted on the same sample.
 
 Defined cases: empty and null texts get the score of no evidence; rows that repeat are scored each; labels that
-repeat count as toxic if any is; null labels are not used; of texts with one doc_id the least is learned from; without both labels in the sample every score is 0.
+repeat count as toxic if any is; null labels are not used; of texts with one doc_id the least is learned from; of features
+that tie in odds all are used; very long texts take memory in proportion to their words with evidence and their bytes;
+without both labels in the sample every score is 0; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,10 +35,12 @@ STEMS = (3, 4, 5, 6)
 LEAST_CONTEXTS = 5
 LEAST_ODDS = 3.0
 LEAST_LABEL_ODDS = 4.0
-MOST_FEATURES = 20_000
+# Training sequences: the sample's documents in parts of so many words; those without evidence are thinned to as many
+# as have some.
 SEQUENCE = 64
 STEPS = 80
-LONGEST_GAP = 512
+# Powers of the step without evidence that are kept; longer gaps are products of these.
+KEPT_POWERS = 512
 
 
 def word_features(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -60,10 +64,18 @@ class Field:
         self._table[hashes >> np.uint64(46)] = True
         step = np.exp(trans + np.array([0.0, bias]))
         self._gaps = [np.eye(2)]
-        for _ in range(LONGEST_GAP):
+        for _ in range(KEPT_POWERS):
             power = self._gaps[-1] @ step
             self._gaps.append(power / power.sum())
 
+    def gap(self, n: int) -> np.ndarray:
+        """The step without evidence to the power ``n``, up to a factor."""
+        if n <= KEPT_POWERS:
+            return self._gaps[n]
+        half = self.gap(n // 2)
+        power = half @ half @ self._gaps[n % 2]
+        return power / power.sum()
+
     def evidence(self, features: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """The words with any feature of the field, and what their features add up to."""
         n = len(features[0])
@@ -84,7 +96,7 @@ class Field:
         ahead, behind = np.empty((k, 2)), np.empty((k, 2))
         gain = np.exp(np.minimum(scores + self.bias, 50.0))
         entry, first = np.exp(self.trans), np.ones(2)
-        gap = [min(g, LONGEST_GAP) for g in np.diff(positions, prepend=-1).tolist()]
+        gap = np.diff(positions, prepend=-1).tolist()
         state = None
         for i in range(k):
             # The first word of a document has no transition into it.
@@ -94,17 +106,17 @@ class Field:
                     state = first.copy()
                 else:
                     start = np.array([1.0, np.exp(self.bias)])
-                    state = start @ self._gaps[min(before - 1, LONGEST_GAP)] @ entry
+                    state = start @ self.gap(int(before) - 1) @ entry
             else:
-                state = state @ self._gaps[gap[i] - 1] @ entry
+                state = state @ self.gap(gap[i] - 1) @ entry
             state = state * (1.0, gain[i])
             state /= state.sum()
             ahead[i] = state
-        rest = self._gaps[min(n_words - 1 - int(positions[-1]), LONGEST_GAP)] @ np.ones(2) if k else None
+        rest = self.gap(n_words - 1 - int(positions[-1])) @ np.ones(2) if k else None
         for i in range(k - 1, -1, -1):
             behind[i] = rest
             if i:
-                rest = self._gaps[gap[i] - 1] @ (entry @ (rest * (1.0, gain[i])))
+                rest = self.gap(gap[i] - 1) @ (entry @ (rest * (1.0, gain[i])))
                 rest /= rest.sum()
         both = ahead * behind
         return both[:, 1] / both.sum(axis=1)
@@ -255,7 +267,7 @@ def fit_texts(texts: list[str], toxic: np.ndarray, clean: list[str] | tuple[str,
         k: np.log((c + 0.5) / (n[1] + 1)) - np.log((seen[0][k] + 0.5) / (n[0] + 1))
         for k, c in seen[1].items() if k
     }
-    chosen = sorted((k for k, v in odds.items() if v >= LEAST_ODDS), key=lambda k: (-odds[k], k))[:MOST_FEATURES]
+    chosen = sorted((k for k, v in odds.items() if v >= LEAST_ODDS), key=lambda k: (-odds[k], k))
     hashes = np.array(sorted(chosen), dtype=np.uint64)
     if not len(hashes):
         return Field(hashes, np.zeros(0), -9.0, np.zeros((2, 2)), (-40.0, 0.0, 0.0))
