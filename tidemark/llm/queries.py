@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import chat, decontaminate, images, jaccard, langid, packing, recompression, secrets, suffixes, toxicity
 from tidemark.llm.common import documents, map_rows, prepare, staged
+from tidemark.llm.oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def register(fn):
