@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+import contextlib
+import threading
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidemark.errors import ReplicationError, SymbolNotFound
+from tidemark.errors import ReplicationError, StoreError, SymbolNotFound
 from tidemark.operators import scan
 from tidemark.operators.encodings import symbol_ids
 from tidemark.plans import Query, explain_tree, parse, plan
@@ -21,7 +23,7 @@ PRIMARY, REPLICA = "primary", "replica"
 
 @dataclass(frozen=True)
 class Config:
-    """``auto_compact`` compacts after an append that makes a level due."""
+    """``auto_compact`` merges the levels that an append makes due."""
 
     auto_compact: bool = True
     cold_tier_uri: str | None = None
@@ -42,8 +44,8 @@ class Engine:
         if self.config.role == REPLICA:
             raise ReplicationError("replica cannot accept writes")
         rows = self.store.append(ticks, order_by)
-        if self.config.auto_compact and self.store.due_levels():
-            self.store.compact()
+        if self.config.auto_compact:
+            self.store.compact_due()
         return rows
 
     def insert(self, symbol: str, timestamp: int, open: float, high: float, low: float, close: float, volume: int) -> int:
@@ -70,7 +72,7 @@ class Engine:
         return self.store.ticks(start, end)
 
     def _known(self, symbol: str) -> None:
-        if self.store.log().filter(F.col("symbol") == symbol).limit(1).isEmpty():
+        if not self.store.has_symbol(symbol):
             raise SymbolNotFound(symbol)
 
     def query(self, text: str | Query, compat: bool = False) -> DataFrame:
@@ -108,11 +110,39 @@ class Engine:
         frame = self.query(text, compat).toPandas()
         return frame.to_dict("list") | {"row_count": len(frame)}
 
+    def to_arrow(self, text: str, compat: bool = False) -> pa.Table:
+        """A result as an Arrow table."""
+        return self.query(text, compat).toArrow()
+
+    def to_polars(self, text: str, compat: bool = False):
+        """A result as a Polars frame, where Polars is installed."""
+        import polars
+
+        return polars.from_arrow(self.to_arrow(text, compat))
+
     # maintenance and introspection
 
     def compact(self) -> int:
         return self.store.compact()
 
+    def compact_due(self) -> int:
+        """Merge the levels that are due; returns how many were."""
+        return self.store.compact_due()
+
+    def compact_every(self, seconds: float) -> Callable[[], None]:
+        """Merge due levels in the background, every so often (0.1 s at least); returns what stops that. A round that
+        fails, as when another writer was faster, is made up for by the next."""
+        stop = threading.Event()
+
+        def work() -> None:
+            while not stop.wait(max(seconds, 0.1)):
+                with contextlib.suppress(StoreError):
+                    self.store.compact_due()
+
+        worker = threading.Thread(target=work, daemon=True)
+        worker.start()
+        return lambda: (stop.set(), worker.join()) and None
+
     def needs_compaction(self) -> bool:
         return bool(self.store.due_levels())
 
@@ -151,6 +181,7 @@ class Engine:
         return self._replica.apply(entries)
 
     def replication_status(self, primary: Engine | None = None) -> dict:
+        """The lag is a number of entries, as sequences are dense."""
         own = self.store.manifest()["next_seq"] - 1
         ahead = primary.store.manifest()["next_seq"] - 1 if primary else own
         return {"role": self.config.role, "wal_sequence": ahead, "last_primary_sequence": own, "lag": max(0, ahead - own)}

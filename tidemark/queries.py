@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import io
+import json
+import time
 import uuid
 from collections.abc import Callable
 
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.engine import Engine, open_engine
+from tidemark.errors import ReplicationError
 from tidemark.functions import HOUR, MINUTE, SECOND
 from tidemark.operators import bars, encodings, merge_runs, last_write_wins, scan
 from tidemark.plans import Query, explain_tree, plan
-from tidemark.schema import COLUMNS, SEQ
+from tidemark.schema import COLUMNS, SEQ, TICK_SCHEMA
 from tidemark.sources import bars_from_lineitem, ticks_from_events, ticks_from_orders
-from tidemark.streaming import read_since
+from tidemark.streaming import ingest_json, maintain_bars, read_since
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -53,8 +58,12 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the place that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder in the place that driver and executors share; only a local session may leave that unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return f"{root}/tidemark-{uuid.uuid4().hex}"
 
 
@@ -258,9 +267,17 @@ def archive_union(spark, sf_dir):
 
 @register("replica_apply_stream", _NEWEST, view=ORDERS)
 def replica_apply_stream(spark, sf_dir):
-    primary = _stored(spark, sf_dir)
-    replica = open_engine(spark, scratch(spark), role="replica")
-    replica._replica.follow(primary.store, scratch(spark)).awaitTermination()
+    """The replica follows through an append, a compaction and another append, past files that no manifest names."""
+    ticks = orders(spark, sf_dir)
+    middle = ticks.agg(F.expr(f"percentile_approx({SEQ}, 0.5)")).first()[0]
+    primary, replica = open_engine(spark, scratch(spark), auto_compact=False), open_engine(spark, scratch(spark), role="replica")
+    checkpoint = scratch(spark)
+    primary.append(ticks.filter(F.col(SEQ) <= middle), order_by=SEQ)
+    ticks.withColumn("close", F.lit(-1.0)).write.parquet(f"{primary.path}/segments/left-by-a-lost-writer")
+    replica._replica.follow(primary.store, checkpoint).awaitTermination()
+    primary.compact()
+    primary.append(ticks.filter(F.col(SEQ) > middle), order_by=SEQ)
+    replica._replica.follow(primary.store, checkpoint).awaitTermination()
     return replica.ticks().select(*COLUMNS)
 
 
@@ -275,15 +292,35 @@ def symbol_dictionary(spark, sf_dir):
 
 
 @register(
-    "store_stats",
+    "symbol_ranges",
     'SELECT symbol, count(*) AS n_rows, min("timestamp") AS first_timestamp, max("timestamp") AS last_timestamp FROM ticks GROUP BY symbol',
 )
-def store_stats(spark, sf_dir):
+def symbol_ranges(spark, sf_dir):
     return events(spark, sf_dir).groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("timestamp").alias("first_timestamp"), F.max("timestamp").alias("last_timestamp")
     )
 
 
+_KEYS = 'SELECT count(*) AS n, count(DISTINCT (symbol, "timestamp")) AS k FROM ticks'
+
+
+@register(
+    "store_stats",
+    f"""SELECT * FROM (SELECT 'before' AS moment, n AS total_rows, n AS inserted_rows, CAST(2 AS BIGINT) AS total_sstables, CAST(2 AS BIGINT) AS level_zero,
+ true AS amplification_is_one FROM ({_KEYS}) UNION ALL SELECT 'after', k, n, 1, 0, false FROM ({_KEYS}))""",
+    view=ORDERS,
+)
+def store_stats(spark, sf_dir):
+    engine = _stored(spark, sf_dir)
+    rows = []
+    for moment in ("before", "after"):
+        seen = engine.stats()
+        level_zero = sum(s["level"] == 0 for s in engine.store.manifest()["segments"])
+        rows.append((moment, seen["total_rows"], seen["inserted_rows"], seen["total_sstables"], level_zero, seen["write_amplification_factor"] == 1.0))
+        engine.compact()
+    return spark.createDataFrame(rows, "moment string, total_rows long, inserted_rows long, total_sstables long, level_zero long, amplification_is_one boolean")
+
+
 _LAG = '(PARTITION BY symbol ORDER BY "timestamp")'
 
 
@@ -315,7 +352,17 @@ def rle_volume_runs(spark, sf_dir):
     return encodings.volume_runs(events(spark, sf_dir))
 
 
-@register("explain_tree")
+_TREE = f"""'QueryRoot (est. 10 rows)
+  Limit(10) (est. 10 rows)
+    StreamAggregate(interval=Min1, fn=Ohlcv) (est. ' || n // 10 // 100 || ' rows)
+      SimdPriceFilter(AVX2) (est. ' || n // 10 // 2 || ' rows)
+        SSTableScan(symbol=click) (est. ' || n // 10 || ' rows)
+          BloomFilterPushdown(t1={START}, t2={END}) (est. ' || n // 10 || ' rows)
+            MemTableScan (est. ' || least(n, 10000) || ' rows)
+'"""
+
+
+@register("explain_tree", f"SELECT {_TREE} AS explain_plan FROM (SELECT count(*) AS n FROM ticks)")
 def explain(spark, sf_dir):
     query = Query("click", START, END, price=(">", 150.0), limit=10, width=MINUTE, unit="m", aggregate="OHLCV", explain=True)
     return spark.createDataFrame([(explain_tree(query, events(spark, sf_dir).count()),)], "explain_plan string")
@@ -333,3 +380,350 @@ def bar_from_lineitem(spark, sf_dir):
     return bars_from_lineitem(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), DAY)
 
 
+# The engine's own surface: ingest, iteration, sinks, streams, replication and accessors, each over whole tables.
+
+_ALL_TICKS = f"SELECT {ALL} FROM ticks"
+
+
+def _rows(ticks: DataFrame) -> list[dict]:
+    return [r.asDict() for r in ticks.drop(SEQ).toLocalIterator()]
+
+
+def _fresh(spark: SparkSession, **config) -> Engine:
+    return open_engine(spark, scratch(spark), **config)
+
+
+@register("insert_each", f"{_ALL_TICKS} WHERE _seq IN (SELECT min(_seq) FROM ticks GROUP BY symbol)")
+def insert_each(spark, sf_dir):
+    """The first tick of every symbol, one insert each, with the compactions that these make due."""
+    engine, ticks = _fresh(spark), events(spark, sf_dir)
+    firsts = ticks.groupBy("symbol").agg(F.min_by(F.struct(*COLUMNS), SEQ).alias("t")).select("t.*")
+    for row in _rows(firsts):
+        engine.insert(**row)
+    return engine.ticks().select(*COLUMNS)
+
+
+@register("insert_batch", f"{_ALL_TICKS} WHERE symbol = 'click'")
+def insert_batch(spark, sf_dir):
+    engine = _fresh(spark)
+    engine.insert_batch("click", _rows(events(spark, sf_dir).filter("symbol = 'click'").drop("symbol")))
+    return engine.ticks().select(*COLUMNS)
+
+
+@register("insert_batch_columns", f"{_ALL_TICKS} WHERE symbol = 'click'")
+def insert_batch_columns(spark, sf_dir):
+    engine = _fresh(spark)
+    columns = events(spark, sf_dir).filter("symbol = 'click'").drop("symbol", SEQ).toPandas().to_dict("list")
+    engine.insert_batch_columns("click", columns)
+    return engine.ticks().select(*COLUMNS)
+
+
+@register("insert_multi", _ALL_TICKS)
+def insert_multi(spark, sf_dir):
+    engine = _fresh(spark)
+    engine.insert_multi(_rows(events(spark, sf_dir)))
+    return engine.ticks().select(*COLUMNS)
+
+
+@register("insert_numpy", f"{_ALL_TICKS} WHERE symbol = 'view'")
+def insert_numpy(spark, sf_dir):
+    engine = _fresh(spark)
+    frame = events(spark, sf_dir).filter("symbol = 'view'").toPandas()
+    engine.insert_numpy("view", *(frame[c].to_numpy() for c in ("timestamp", "open", "high", "low", "close", "volume")))
+    return engine.ticks().select(*COLUMNS)
+
+
+def _loaded(spark: SparkSession, sf_dir: str, **config) -> Engine:
+    engine = _fresh(spark, **config)
+    engine.append(events(spark, sf_dir), order_by=SEQ)
+    return engine
+
+
+@register("log_sequence", f"SELECT symbol, \"timestamp\", row_number() OVER (ORDER BY _seq) - 1 AS _seq FROM ticks")
+def log_sequence(spark, sf_dir):
+    """The log numbers its entries densely from 0, in the order of the append."""
+    return _loaded(spark, sf_dir).store.log().select("symbol", "timestamp", SEQ)
+
+
+@register("query_range", f"SELECT {ALL} FROM ticks WHERE {CLICK}")
+def query_range(spark, sf_dir):
+    return _loaded(spark, sf_dir).query_range("click", START, END)
+
+
+_IN_ORDER = f"SELECT row_number() OVER (ORDER BY \"timestamp\") - 1 AS place, {ALL} FROM ticks WHERE symbol = 'click'"
+
+
+def _placed(spark: SparkSession, ticks) -> DataFrame:
+    rows = [(i, *(t[c] for c in COLUMNS)) for i, t in enumerate(ticks)]
+    return spark.createDataFrame(rows, "place long, timestamp long, symbol string, open double, high double, low double, close double, volume long")
+
+
+@register("scan_stream", _IN_ORDER)
+def scan_stream(spark, sf_dir):
+    """Ticks one at a time, in order."""
+    return _placed(spark, _loaded(spark, sf_dir).scan_stream("click", 0, EVER))
+
+
+@register("scan_iter", _IN_ORDER)
+def scan_iter(spark, sf_dir):
+    return _placed(spark, _loaded(spark, sf_dir).scan_iter("click", 0, EVER))
+
+
+@register("implicit_order", _IN_ORDER)
+def implicit_order(spark, sf_dir):
+    """What a query without an order gives comes in time order."""
+    return _placed(spark, plan(events(spark, sf_dir).drop(SEQ), f"SELECT * FROM click WHERE timestamp BETWEEN 0 AND {EVER}").toLocalIterator())
+
+
+@register("select_list_with_group_by", _bars("symbol = 'click'", HOUR))
+def select_list_with_group_by(spark, sf_dir):
+    """Bars have all their columns, whatever the list says."""
+    return plan(events(spark, sf_dir).drop(SEQ), f"SELECT close FROM click WHERE timestamp BETWEEN 0 AND {EVER} GROUP BY :1h AGGREGATE OHLCV")
+
+
+_SINK = f"SELECT * FROM click WHERE timestamp BETWEEN {START} AND {END} AND price > 150"
+_SUNK = f"SELECT {ALL}, count(*) OVER () AS row_count FROM ticks WHERE {CLICK} AND close > 150"
+_SINK_SCHEMA = "timestamp long, symbol string, open double, high double, low double, close double, volume long, row_count long"
+
+
+@register("dict_sink", _SUNK)
+def dict_sink(spark, sf_dir):
+    found = _loaded(spark, sf_dir).to_dict(_SINK)
+    return spark.createDataFrame([(*row, found["row_count"]) for row in zip(*(found[c] for c in COLUMNS), strict=True)], _SINK_SCHEMA)
+
+
+@register("arrow_sink", _SUNK)
+def arrow_sink(spark, sf_dir):
+    table = _loaded(spark, sf_dir).to_arrow(_SINK)
+    return spark.createDataFrame([(*row.values(), table.num_rows) for row in table.select(list(COLUMNS)).to_pylist()], _SINK_SCHEMA)
+
+
+def _by_cli(engine: Engine, *args: str) -> str:
+    from tidemark import cli
+
+    return cli.run(engine, cli._parser().parse_args(args))
+
+
+@register("cli_json_sink", _SUNK)
+def cli_json_sink(spark, sf_dir):
+    rows = json.loads(_by_cli(_loaded(spark, sf_dir), "query", _SINK, "--json"))
+    return spark.createDataFrame([(*(r[c] for c in COLUMNS), len(rows)) for r in rows], _SINK_SCHEMA)
+
+
+@register(
+    "cli_text_sink",
+    f"""SELECT 0 AS line, n || ' rows' AS shown FROM (SELECT count(*) AS n FROM ticks WHERE symbol = 'click')
+ UNION ALL SELECT CAST(i AS INT), "timestamp" || chr(9) || symbol || chr(9) || volume FROM (SELECT *, row_number() OVER (ORDER BY "timestamp") AS i
+ FROM ticks WHERE symbol = 'click') WHERE i <= 1000
+ UNION ALL SELECT 1001, '... ' || (n - 1000) || ' more rows' FROM (SELECT count(*) AS n FROM ticks WHERE symbol = 'click') WHERE n > 1000""",
+)
+def cli_text_sink(spark, sf_dir):
+    text = _by_cli(_loaded(spark, sf_dir), "query", f"SELECT timestamp symbol volume FROM click WHERE timestamp BETWEEN 0 AND {EVER}")
+    return spark.createDataFrame(list(enumerate(text.splitlines())), "line int, shown string")
+
+
+def _as_json(ticks: DataFrame, folder: str) -> str:
+    """Ticks as JSON lines, by event id, so that later files hold later ones."""
+    ticks.repartitionByRange(2, SEQ).drop(SEQ).write.json(folder)
+    return folder
+
+
+@register("ingest_late", f"SELECT {ALL} FROM ticks")
+def ingest_late(spark, sf_dir):
+    """The newest half of all ticks comes first; the stream has no watermark, so the older half is taken too."""
+    engine, ticks = _fresh(spark), events(spark, sf_dir)
+    middle = ticks.agg(F.expr("percentile_approx(timestamp, 0.5)")).first()[0]
+    checkpoint, folder = scratch(spark), scratch(spark)
+    for part in (F.col("timestamp") > middle, F.col("timestamp") <= middle):
+        ticks.filter(part).drop(SEQ).write.mode("append").json(folder)
+        ingest_json(spark, folder, engine.store, checkpoint).awaitTermination()
+    return engine.ticks().select(*COLUMNS)
+
+
+@register(
+    "ingest_rejects",
+    "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN _seq % 5 = 0 THEN 'not a tick in JSON' WHEN _seq % 5 = 1 THEN 'missing symbol'"
+    " WHEN _seq % 5 = 2 THEN 'negative volume' ELSE 'stored' END AS reason FROM ticks) GROUP BY reason",
+)
+def ingest_rejects(spark, sf_dir):
+    """Ticks that cannot be taken are set aside one by one, with the reason; the others are stored."""
+    engine, folder, aside = _fresh(spark), scratch(spark), scratch(spark)
+    kind = F.col(SEQ) % 5
+    ticks = events(spark, sf_dir).withColumn("symbol", F.when(kind != 1, F.col("symbol"))).withColumn("volume", F.when(kind == 2, F.lit(-1)).otherwise(F.col("volume")))
+    text = F.to_json(F.struct(*COLUMNS))
+    ticks.select(F.when(kind == 0, F.concat(F.lit("x"), text)).otherwise(text).alias("value")).write.text(folder)
+    ingest_json(spark, folder, engine.store, scratch(spark), rejects=aside).awaitTermination()
+    refused = spark.read.json(f"{aside}/*").select(F.col("error").alias("reason"))
+    return refused.unionByName(engine.store.log().select(F.lit("stored").alias("reason"))).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("ingest_replayed_batch", f"SELECT {ALL}, count(*) OVER () AS inserted FROM ticks")
+def ingest_replayed_batch(spark, sf_dir):
+    """A batch that a stream delivers again after a failure is in the manifest already, and is added once."""
+    engine = _fresh(spark)
+    for _ in range(2):
+        engine.store.append(events(spark, sf_dir), batch=("stream", 7))
+    return engine.ticks().select(*COLUMNS, F.lit(engine.stats()["inserted_rows"]).alias("inserted"))
+
+
+@register("live_bars", _bars("true", HOUR))
+def live_bars(spark, sf_dir):
+    """Bars kept up to date by a stream: each batch replaces those that it touches."""
+    engine, folder, kept = _fresh(spark), scratch(spark), scratch(spark)
+    source = _as_json(events(spark, sf_dir), folder)
+
+    def update(batch: DataFrame, number: int) -> None:
+        engine.store.append(batch, batch=(kept, number))
+        maintain_bars(engine.ticks(), batch, HOUR).withColumn("batch", F.lit(number)).write.mode("append").parquet(kept)
+
+    stream = spark.readStream.schema(TICK_SCHEMA).option("maxFilesPerTrigger", 1).json(source)
+    stream.writeStream.foreachBatch(update).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start().awaitTermination()
+    newest = spark.read.parquet(kept).groupBy("symbol", "timestamp").agg(F.max_by(F.struct("open", "high", "low", "close", "volume"), "batch").alias("bar"))
+    return newest.select("timestamp", "symbol", "bar.*").select(*COLUMNS)
+
+
+@register("replica_pull", _NEWEST, view=ORDERS)
+def replica_pull(spark, sf_dir):
+    """Pulled in ranges of the sequence, each a batch applied once."""
+    primary, replica = _stored(spark, sf_dir), _fresh(spark, role="replica")
+    replica._replica.pull(primary.store, batch=max(500, primary.stats()["total_rows"] // 3))
+    return replica.ticks().select(*COLUMNS)
+
+
+@register(
+    "replication_status",
+    """SELECT 'before' AS moment, n - 1 AS wal_sequence, CAST(-1 AS BIGINT) AS last_primary_sequence, n AS lag, 0 AS applied FROM (SELECT count(*) AS n FROM ticks)
+ UNION ALL SELECT 'after', n - 1, n - 1, 0, n FROM (SELECT count(*) AS n FROM ticks)""",
+    view=ORDERS,
+)
+def replication_status(spark, sf_dir):
+    """Cursor and lag of a replica, in entries, before and after it has caught up."""
+    primary, replica = _stored(spark, sf_dir), _fresh(spark, role="replica")
+    rows, applied = [], 0
+    for moment in ("before", "after"):
+        status = replica.replication_status(primary)
+        rows.append((moment, status["wal_sequence"], status["last_primary_sequence"], status["lag"], applied))
+        applied = replica._replica.catch_up(primary.store)
+    return spark.createDataFrame(rows, "moment string, wal_sequence long, last_primary_sequence long, lag long, applied long")
+
+
+@register(
+    "roles",
+    "SELECT * FROM (VALUES ('primary', 'only replicas accept replication batches', CAST(0 AS BIGINT)), ('replica', 'replica cannot accept writes', CAST(0 AS BIGINT)))"
+    " AS t(node_role, refused, empty_batch)",
+)
+def roles(spark, sf_dir):
+    """What each role refuses; a batch of nothing is applied by any."""
+    rows = []
+    for role in ("primary", "replica"):
+        engine = _fresh(spark, role=role)
+        ticks = events(spark, sf_dir)
+        try:
+            engine.apply_replication_batch(ticks) if role == "primary" else engine.append(ticks)
+        except ReplicationError as error:
+            rows.append((engine.node_role, str(error), engine.apply_replication_batch(ticks.limit(0))))
+    return spark.createDataFrame(rows, "node_role string, refused string, empty_batch long")
+
+
+@register(
+    "compaction_due",
+    """SELECT CAST(k AS BIGINT) AS appends, k = 4 AS due, CASE WHEN k = 4 THEN '1:1' ELSE '0:' || k END AS levels_after, n AS total FROM
+ (SELECT unnest([1, 2, 3, 4]) AS k), (SELECT count(*) AS n FROM ticks)""",
+)
+def compaction_due(spark, sf_dir):
+    """Four segments on level 0 are due, and merged into level 1; fewer are not."""
+    engine, ticks, rows = _fresh(spark, auto_compact=False), events(spark, sf_dir), []
+    for k in range(1, 5):
+        engine.append(ticks.filter(F.col(SEQ) % 4 == k - 1))
+        due = engine.needs_compaction()
+        engine.compact_due()
+        levels = [s["level"] for s in engine.store.manifest()["segments"]]
+        rows.append((k, due, ",".join(f"{x}:{levels.count(x)}" for x in sorted(set(levels)))))
+    total = engine.ticks().count()
+    return spark.createDataFrame([(*r, total) for r in rows], "appends long, due boolean, levels_after string, total long")
+
+
+@register("levelled_compaction", _NEWEST, view=ORDERS)
+def levelled_compaction(spark, sf_dir):
+    """Seven appends of overlapping keys with merges of due levels in between: keys stay resolved across levels."""
+    engine, ticks = _fresh(spark), orders(spark, sf_dir)
+    cuts = [-1, *ticks.agg(F.expr(f"percentile_approx({SEQ}, array(0.1, 0.3, 0.4, 0.6, 0.8, 0.9))")).first()[0], 2**62]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        engine.append(ticks.filter((F.col(SEQ) > low) & (F.col(SEQ) <= high)), order_by=SEQ)
+    return engine.ticks().select(*COLUMNS)
+
+
+@register(
+    "codec_by_level",
+    "SELECT * FROM (VALUES (0, 'LZ4', false), (1, 'ZSTD', true)) AS t(level, codec, delta_timestamps)",
+)
+def codec_by_level(spark, sf_dir):
+    """How segments of each level are stored, read from their files."""
+    engine, rows = _loaded(spark, sf_dir, auto_compact=False), set()
+    for _ in range(2):
+        (segment,) = engine.store.manifest()["segments"]
+        binary = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(segment["uri"]).select("content")
+        for (content,) in binary.toLocalIterator():
+            for column in pq.ParquetFile(io.BytesIO(content)).metadata.row_group(0).to_dict()["columns"]:
+                if column["path_in_schema"] == "timestamp":
+                    rows.add((segment["level"], column["compression"], "DELTA_BINARY_PACKED" in column["encodings"]))
+        engine.compact()
+    return spark.createDataFrame(sorted(rows), "level int, codec string, delta_timestamps boolean")
+
+
+@register("background_compaction", f"SELECT {ALL}, CAST(0 AS BIGINT) AS level_zero FROM ticks")
+def background_compaction(spark, sf_dir):
+    """Appends alone, while a worker merges what is due."""
+    engine, ticks = _fresh(spark, auto_compact=False), events(spark, sf_dir)
+    for k in range(4):
+        engine.append(ticks.filter(F.col(SEQ) % 4 == k))
+    stop = engine.compact_every(0.1)
+    for _ in range(600):
+        if not engine.needs_compaction():
+            break
+        time.sleep(0.1)
+    stop()
+    left = sum(s["level"] == 0 for s in engine.store.manifest()["segments"])
+    return engine.ticks().select(*COLUMNS, F.lit(left).cast("long").alias("level_zero"))
+
+
+@register(
+    "health_and_accessors",
+    """SELECT 'ok' AS status, 'primary' AS role, n AS total_rows, false AS needs_compaction, CAST(0 AS BIGINT) AS last_applied,
+ CAST(1 AS BIGINT) AS archived, true AS at_path FROM (SELECT count(*) AS n FROM ticks)""",
+)
+def health_and_accessors(spark, sf_dir):
+    engine = _loaded(spark, sf_dir, cold_tier_uri=scratch(spark), cold_tier_min_level=1)
+    engine.compact()
+    engine.sync_cold_tier()
+    health = engine.health()
+    row = (health["status"], health["role"], health["total_rows"], engine.needs_compaction(), engine.replication_last_applied(),
+           engine.cold_tier_synced_count(), engine.path == engine.store.path)
+    return spark.createDataFrame([row], "status string, role string, total_rows long, needs_compaction boolean, last_applied long, archived long, at_path boolean")
+
+
+_WHOLE_PRICES = TICKS.replace("value AS open", "floor(value) AS open").replace("value + 1 AS high", "floor(value) + 1 AS high").replace(
+    "value - 1 AS low, value AS close", "floor(value) - 1 AS low, floor(value) AS close"
+)
+
+
+@register(
+    "vwap_1h_default",
+    f"""SELECT "timestamp", symbol, {_FOUR}, volume FROM (SELECT "timestamp" // {HOUR} * {HOUR} AS "timestamp", symbol,
+ sum(close * volume) / sum(volume) AS vwap, CAST(sum(volume) AS BIGINT) AS volume FROM ticks WHERE symbol = 'click' GROUP BY symbol, "timestamp" // {HOUR} * {HOUR})""",
+    view=_WHOLE_PRICES,
+)
+def vwap_1h_default(spark, sf_dir):
+    """The plan's own VWAP in doubles, on whole prices, whose products and sums are exact in any order."""
+    ticks = events(spark, sf_dir).drop(SEQ)
+    ticks = ticks.withColumns({"open": F.floor("open").cast("double"), "high": F.floor("open") + 1.0, "low": F.floor("open") - 1.0, "close": F.floor("open").cast("double")})
+    return plan(ticks, f"SELECT * FROM click WHERE timestamp BETWEEN 0 AND {EVER} GROUP BY :1h AGGREGATE VWAP")
+
+
+@register("bloom_lookup", f"{_ALL_TICKS} WHERE \"timestamp\" = (SELECT max(\"timestamp\") FROM ticks) AND symbol = (SELECT arg_max(symbol, \"timestamp\") FROM ticks)")
+def bloom_lookup(spark, sf_dir):
+    """A key looked up in stored segments, whose files carry a bloom filter of timestamps."""
+    engine = _loaded(spark, sf_dir)
+    newest = events(spark, sf_dir).agg(F.max_by(F.struct("symbol", "timestamp"), "timestamp").alias("k")).first()["k"]
+    found = engine.get(newest["symbol"], newest["timestamp"])
+    return spark.createDataFrame([tuple(found[c] for c in COLUMNS)], TICK_SCHEMA)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import SparkSession
 
 class Files:
     def __init__(self, spark: SparkSession):
+        self._gateway = spark.sparkContext._gateway
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
 
@@ -44,16 +46,25 @@ class Files:
             stream.close()
 
     def create_json(self, uri: str, value: dict) -> bool:
-        """Write a new file through a temporary name; False when ``uri`` is already there."""
-        if self.exists(uri):
-            return False
-        part = f"{uri}.part"
-        stream = self._fs(uri).create(self.path(part), True)
+        """Write a new file whole; False when ``uri`` is already there. Every writer has a temporary file of its own,
+        and the rename does not overwrite, so of two writers one is told that it lost."""
+        fs = self._fs(uri)
+        target = self.path(uri)
+        fs.mkdirs(target.getParent())
+        part = self.path(f"{uri}.{uuid.uuid4().hex}.part")
+        stream = fs.create(part, False)
         try:
             stream.write(json.dumps(value).encode())
         finally:
             stream.close()
+        hadoop = self._jvm.org.apache.hadoop.fs
+        # No option: the rename fails where the target exists.
+        options = self._gateway.new_array(hadoop.Options.Rename, 0)
         try:
-            return bool(self._fs(uri).rename(self.path(part), self.path(uri)))
-        except Py4JJavaError:
-            return False
+            hadoop.FileContext.getFileContext(target.toUri(), self._conf).rename(fs.makeQualified(part), fs.makeQualified(target), options)
+        except Py4JJavaError as error:
+            fs.delete(part, False)
+            if "AlreadyExists" in str(error.java_exception) or fs.exists(target):
+                return False
+            raise
+        return True

@@ -35,20 +35,31 @@ class Replica:
         return self.store.append_log(entries)
 
     def pull(self, primary: SegmentStore, batch: int = 500) -> int:
-        """Apply what the primary has past the cursor, ``batch`` rows at a time; returns the entries applied."""
-        done = 0
-        while n := self.apply(read_since(primary.log(), self.last_applied if self.last_applied >= 0 else None, batch)):
-            done += n
+        """Apply what the primary has past the cursor, ``batch`` numbers at a time; returns the entries applied.
+
+        Sequences are dense, so a batch is a range of them: the manifest tells which segments have some, and nothing
+        is sorted. Numbers whose rows compaction has resolved away are passed over."""
+        done, at = 0, self.last_applied
+        while at < (newest := primary.manifest()["next_seq"] - 1):
+            high = min(at + batch, newest)
+            done += self.apply(primary.log_between(at, high))
+            at = high
         return done
 
-    def follow(self, primary: SegmentStore, checkpoint: str):
-        """Stream the primary's segments into this store until none is left; the checkpoint remembers which."""
-        from tidemark.schema import LOG_SCHEMA
+    def catch_up(self, primary: SegmentStore) -> int:
+        """Apply all that the primary's newest manifest lists past the cursor, as one segment."""
+        return self.apply(primary.log_between(self.last_applied, primary.manifest()["next_seq"] - 1))
+
+    def follow(self, primary: SegmentStore, checkpoint: str, once: bool = True):
+        """Stream the primary's manifests; each batch of new ones applies the rows they list past the cursor.
 
-        stream = self.store.spark.readStream.schema(LOG_SCHEMA).parquet(f"{primary.path}/segments/*")
+        Files that no manifest names are never read, a compaction brings no row twice, and a batch that is replayed
+        finds its rows applied."""
+        trigger = {"availableNow": True} if once else {"processingTime": "1 second"}
+        stream = self.store.spark.readStream.schema("version long").option("pathGlobFilter", "*.json").json(f"{primary.path}/_manifest")
         return (
-            stream.writeStream.foreachBatch(lambda rows, _: self.apply(rows) and None)
+            stream.writeStream.foreachBatch(lambda _, __: self.catch_up(primary) and None)
             .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
+            .trigger(**trigger)
             .start()
         )
