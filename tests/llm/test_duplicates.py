@@ -2,8 +2,10 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import graph, jaccard, recompression, suffixes
+from tidemark.llm.common import staged
 
 PASSAGE = " ".join(f"p{i}" for i in range(60))
 HARD = [
@@ -139,6 +141,47 @@ def test_jaccard_edges(edges, empty):
     assert kept.count(6) == 1 and len(kept) == 10
 
 
+def thue_morse(n, zero="a", one="b"):
+    return "".join(one if bin(i).count("1") % 2 else zero for i in range(n))
+
+
+def test_words_of_thue_morse_form_are_told_apart(spark):
+    """Polynomial fingerprints modulo 2**64 are equal for such words and their complements."""
+    docs, pairs = [], []
+    for k, n in enumerate((1024, 2048, 8192)):
+        one, other = thue_morse(n), thue_morse(n, "b", "a")
+        around = [f"w{k}x{i}" for i in range(34)]
+        docs += [(10 * k, " ".join([*around, one])), (10 * k + 1, " ".join([*around, other]))]
+        pairs += [(10 * k + 2, f"{one} five common words of {k}"), (10 * k + 3, f"{other} five common words of {k}")]
+    texts = [t for _, t in docs + pairs]
+    df = spark.createDataFrame(docs + pairs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.kept, r.n_words, r.n_removed) for r in recompression.deduplicate(df).collect()}
+    assert got == dict(zip([i for i, _ in docs + pairs], repeated_words(texts)))
+    got = {r.doc_id: (bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.deduplicate(df).collect()}
+    order = sorted(docs + pairs)
+    assert got == dict(zip([i for i, _ in order], repeated_bytes([t for _, t in order])))
+    joined = {r.doc_id: r.n_links for r in jaccard.join(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
+    assert set(joined.values()) == {0}
+
+
+def test_a_template_is_no_group(spark):
+    """10,000 documents share most of their words with one another, and only planted pairs are similar."""
+    template = [f"t{i}" for i in range(60)]
+    rows = []
+    for i in range(5000):
+        own = [f"o{i}x{j}" for j in range(20)]
+        rows.append((2 * i, " ".join([*template, *own])))
+        partner = [*own[:-2], "p", "q"] if i % 10 == 0 else [f"s{i}x{j}" for j in range(20)]
+        rows.append((2 * i + 1, " ".join([*template, *partner])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    nodes = jaccard.rows(df).groupBy("h1", "h2").agg(*(F.first(c).alias(c) for c in ("size", "paths", "filter")))
+    nodes = staged(nodes.withColumn("node", F.xxhash64(F.monotonically_increasing_id())))
+    largest = jaccard.candidate_groups(nodes).groupBy("component").count().agg(F.max("count")).first()[0]
+    assert largest < 40
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(df).collect()}
+    assert got == {d: (d // 2 * 2, 1) if d // 2 % 10 == 0 else (d, 0) for d, _ in rows}
+
+
 def test_target_recall():
     assert jaccard.recall(jaccard.RUNS) >= jaccard.TARGET_RECALL
 

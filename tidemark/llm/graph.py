@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, release, staged
+from tidemark.llm.common import discard, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,7 +29,6 @@ def components(edges: DataFrame) -> DataFrame:
         next_live = staged(second.select(scrambled("x").alias("a"), scrambled("to").alias("b")).distinct())
         discard(labels, live, least)
         labels, live = next_labels, next_live
-        release(edges.sparkSession)
     named = labels.join(labels.groupBy("component").agg(F.min("node").alias("least")), "component")
     out = staged(named.select("node", F.col("least").alias("component")))
     discard(live, labels)

@@ -2,13 +2,14 @@
 
 A document is its set of 5-word shingles (all its words as one, if fewer). Documents with one set are one *node*; sets are
 equal if 128 bits of fingerprint are. A node's sketch holds least hashes of its shingles: 32 of them, in full, choose
-paths (two sets share one with probability equal to their similarity), and 4 bits each of 256 others, its *filter*,
+paths (two sets share one with probability equal to their similarity), and 4 bits each of 512 others, its *filter*,
 estimate similarities. Chosen paths split nodes recursively: each run starts from its own coordinates; nodes that
-share the token at a path's coordinate are a bucket; a bucket of no more than BUCKET nodes is compared by brute
-force, on filters, and a larger one is split again on BRANCHES more coordinates that its path has not used. Runs are
-repeated until a pair at the threshold is met with the target recall. Only a large bucket most of whose nodes have a
-filter like its representative's is not split: it holds near copies, which no split parts, and becomes a candidate
-group. Documents that share a template but are less alike are split until their buckets are small.
+share the token at a path's coordinate are a bucket; a bucket of no more than BUCKET nodes is compared by brute force,
+on filters, block against block, and a larger one is split again on BRANCHES more coordinates that its path has not
+used. (A comparison of filters costs a tenth of a microsecond, so splitting pays only where buckets are large.) Runs are
+repeated until a pair at the threshold is met with the target recall. A bucket of several blocks most of whose nodes have
+filters like its representative's holds near copies, which no split parts: it becomes a candidate group, and is
+neither compared nor split. Documents that share a template but are less alike are compared or split.
 
 Candidate groups (components of the pairs whose filters agree) are then verified on whole shingle sets: within a
 group all pairs are compared, block against block, each once, so no task holds more than two blocks; a task returns its
@@ -42,17 +43,18 @@ THRESHOLD = 0.8
 TARGET_RECALL = 0.9999
 COORDINATES = 32
 BRANCHES = 2
-BUCKET = 512
+BUCKET = 20_000
 # Path coordinates are used up by then; what is still large becomes a group.
 DEPTH = 24
-# A large bucket is a group if this part of its nodes have filters that agree with its representative's.
-ALIKE = 0.6
-# Blocks of a group by nodes and by tokens.
+# A bucket of several blocks is a group if half of its nodes are at least this similar to its representative.
+ALIKE = 0.65
+# Blocks of a bucket by nodes, of a group by nodes and by tokens.
 BLOCK = 1024
 BLOCK_TOKENS = 400_000
-FILTER = 256
+FILTER = 512
 # Filters agree where tokens do, and in one of 16 other cases; four standard deviations less than at the threshold.
 _CHANCE = THRESHOLD + (1 - THRESHOLD) / 16
+_NEAR = math.floor(FILTER * (ALIKE + (1 - ALIKE) / 16))
 _AGREE = math.floor(FILTER * (_CHANCE - 4 * math.sqrt(_CHANCE * (1 - _CHANCE) / FILTER)))
 
 _rng = np.random.Generator(np.random.PCG64(977))
@@ -214,7 +216,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = pa.StructArray.from_arrays([pa.array(_signed(made.ravel())), pa.array(_signed(marks.ravel()))], fields=list(kind))
         offsets = pa.array(np.arange(len(path) + 1, dtype=np.int32) * BRANCHES)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("path"), batch.column("node"), pa.array(agreement(own, first) >= _AGREE), pa.ListArray.from_arrays(offsets, pairs)],
+            [batch.column("path"), batch.column("node"), pa.array(agreement(own, first) >= _NEAR), pa.ListArray.from_arrays(offsets, pairs)],
             ["path", "node", "alike", "children"],
         )
 
@@ -238,17 +240,43 @@ class Forest:
         return a != b
 
 
+class Labels:
+    """Union-find by relabelling, for one unit of comparison."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def join(self, x: int, others: np.ndarray) -> list[int]:
+        """Put ``x`` and ``others`` into one set; returns those of the others that stand for sets joined by this."""
+        own = self.label[x]
+        foreign = others[self.label[others] != own]
+        if not len(foreign):
+            return []
+        names, first = np.unique(self.label[foreign], return_index=True)
+        self.label[np.isin(self.label, names)] = own
+        return foreign[first].tolist()
+
+
+# Units of so few nodes are compared many at once.
+FEW = 16
+
+
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the pairs in buckets whose filters agree enough; rows come sorted by path."""
+    """A spanning forest of the pairs in units whose filters agree enough.
 
-    def edges(table: pa.Table) -> pa.RecordBatch:
-        path, node, size = (table.column(c).to_numpy() for c in ("path", "node", "size"))
+    A unit is a block of a bucket, or two of them, whose pairs across are compared. Rows come sorted by (path, first,
+    second, block)."""
+
+    def edges(table: pa.Table, unit: np.ndarray) -> pa.RecordBatch:
+        node, size, block = (table.column(c).to_numpy() for c in ("node", "size", "block"))
         low = _matrix(table.column("filter").combine_chunks(), np.uint64, FILTER // 16)
-        forest, left, right = Forest(len(path)), [], []
-        for lag in range(1, BUCKET):
-            a = np.flatnonzero(path[lag:] == path[:-lag])
-            if not len(a):
-                break
+        left, right = [], []
+        begin = np.flatnonzero(np.diff(unit, prepend=-1))
+        stop = np.append(begin[1:], len(unit))
+        forest = Forest(len(unit))
+        few = (stop - begin <= FEW)[unit]
+        for lag in range(1, FEW):
+            a = np.flatnonzero((unit[lag:] == unit[:-lag]) & few[lag:])
             b = a + lag
             fits = (5 * size[a] >= 4 * size[b]) & (5 * size[b] >= 4 * size[a])
             a, b = a[fits], b[fits]
@@ -257,21 +285,55 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 if forest.join(x, y):
                     left.append(x)
                     right.append(y)
-        return pa.RecordBatch.from_arrays([pa.array(node[left]), pa.array(node[right])], ["a", "b"])
+        for u in np.flatnonzero(stop - begin > FEW).tolist():
+            rows = slice(begin[u], stop[u])
+            own, sizes = low[rows], size[rows]
+            n = len(own)
+            # Of two blocks each row of the first is compared with the second's, of one with those after it.
+            cut = int(np.searchsorted(block[rows], block[begin[u]], side="right"))
+            labels = Labels(n)
+            for x in range(cut if cut < n else n):
+                to = cut if cut < n else x + 1
+                near = agreement(own[x], own[to:]) >= _AGREE
+                near &= (5 * sizes[x] >= 4 * sizes[to:]) & (5 * sizes[to:] >= 4 * sizes[x])
+                for y in labels.join(x, to + np.flatnonzero(near)):
+                    left.append(begin[u] + x)
+                    right.append(begin[u] + y)
+        return pa.RecordBatch.from_arrays([pa.array(node[left], pa.int64()), pa.array(node[right], pa.int64())], ["a", "b"])
+
+    def units(table: pa.Table) -> np.ndarray:
+        key = [table.column(c).to_numpy() for c in ("path", "first", "second")]
+        new = np.zeros(table.num_rows, np.int64)
+        for c in key:
+            new[1:] |= c[1:] != c[:-1]
+        return np.cumsum(new)
 
     held: list[pa.RecordBatch] = []
     n = 0
     for batch in batches:
         held.append(batch)
         n += batch.num_rows
-        if n >= 4 * BUCKET + 2000:
+        if n >= 2 * BLOCK + 4000:
             table = pa.Table.from_batches(held)
-            path = table.column("path").to_numpy()
-            cut = int(np.searchsorted(path, path[-1]))
-            yield edges(table.slice(0, cut))
-            held, n = table.slice(cut).combine_chunks().to_batches(), len(path) - cut
+            unit = units(table)
+            cut = int(np.searchsorted(unit, unit[-1]))
+            yield edges(table.slice(0, cut), unit[:cut])
+            held, n = table.slice(cut).combine_chunks().to_batches(), len(unit) - cut
     if n:
-        yield edges(pa.Table.from_batches(held))
+        table = pa.Table.from_batches(held)
+        yield edges(table, units(table))
+
+
+def compared(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: a forest of the like nodes of buckets; ``members`` are (path, node, n: the bucket's size)."""
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "path", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "node"
+    )
+    key = ("path", "first", "second")
+    rows = paired.join(nodes.select("node", "size", "filter"), "node").repartition(*key).sortWithinPartitions(*key, "block", "node")
+    return rows.mapInArrow(_bucket_edges, "a long, b long")
 
 
 def candidate_groups(nodes: DataFrame) -> DataFrame:
@@ -283,28 +345,32 @@ def candidate_groups(nodes: DataFrame) -> DataFrame:
     held = nodes
     for depth in range(1, DEPTH + 1):
         sizes = staged(members.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1"))
-        small = members.select("path", "node").join(sizes.filter(F.col("n") <= BUCKET).select("path"), "path")
-        small = small.join(held.select("node", "size", "filter"), "node")
-        edges.append(staged(small.repartition("path").sortWithinPartitions("path", "node").mapInArrow(_bucket_edges, "a long, b long")))
-        large = sizes.filter(F.col("n") > BUCKET)
+        small = members.select("path", "node").join(sizes.filter(F.col("n") <= BLOCK).select("path", "n"), "path")
+        edges.append(staged(compared(small, held)))
+        large = sizes.filter(F.col("n") > BLOCK)
         if large.isEmpty():
             discard(members, sizes)
             break
-        inside = staged(members.join(large.select("path"), "path"))
+        inside = staged(members.join(large.select("path", "n"), "path"))
         if depth == 1:
             held = staged(nodes.join(inside.select("node").distinct(), "node", "left_semi").select("node", "size", "paths", "filter"))
         first = large.select("path", F.col("least").alias("node")).join(held.select("node", F.col("filter").alias("first")), "node").select("path", "first")
         met = inside.join(first, "path").join(held.select("node", "paths", "filter"), "node")
         split = staged(met.mapInArrow(_split, SPLIT))
         near = split.groupBy("path").agg(F.avg(F.col("alike").cast("int")).alias("part"))
-        whole = large.join(near.filter((F.col("part") >= ALIKE) | F.lit(depth == DEPTH)), "path").select("path", "least")
-        whole = staged(whole)
+        whole = large.join(near, "path").filter((F.col("part") >= 0.5) | (F.lit(depth == DEPTH) & (F.col("n") > BUCKET)))
+        whole = staged(whole.select("path", "least"))
         edges.append(staged(split.select("path", "node").join(whole, "path").select(F.col("node").alias("a"), F.col("least").alias("b"))))
-        on = split.join(whole, "path", "left_anti").select("node", F.explode("children").alias("c")).select("c.path", "node", "c.used")
-        on = staged(on)
+        other = inside.join(whole, "path", "left_anti")
+        edges.append(staged(compared(other.filter(F.col("n") <= BUCKET).select("path", "node", "n"), held)))
+        deep = split.join(large.filter(F.col("n") > BUCKET).select("path"), "path", "left_semi").join(whole, "path", "left_anti")
+        on = staged(deep.select("node", F.explode("children").alias("c")).select("c.path", "node", "c.used"))
         discard(members, sizes, inside, split, whole)
         members = on
         release(spark)
+        if members.isEmpty():
+            discard(members)
+            break
     if held is not nodes:
         discard(held)
     groups = components(reduce(DataFrame.unionByName, edges))
