@@ -61,3 +61,12 @@ def test_bounds_hold(lengths):
         own = np.flatnonzero(bins == b)
         order = own[np.argsort(offsets[own])]
         assert (offsets[order] == np.cumsum(lengths[order]) - lengths[order]).all() and lengths[own].sum() <= 20
+
+
+def test_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 5)
+    coder = packing.WordTokenizer(PATH)
+    for k in range(6):
+        texts = [f"alpha{k} beta{k}, gamma", "x" * 50 + str(k), f"alpha{k}"]
+        assert [np.frombuffer(g, "<u4").tolist() for g in coder.encode(texts)] == [reference(t)[:-1] for t in texts]
+        assert len(coder._cache) < 16

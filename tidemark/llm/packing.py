@@ -33,7 +33,9 @@ END_ID = 0
 PARTITION_PIECES = 100_000
 # A sequence with no more than this part of its length free is not opened again.
 KEPT_GAP = 1 / 256
+# What the cache of parts holds at most, before a batch: entries and characters.
 CACHED_WORDS = 600_000
+CACHED_CHARS = 32 << 20
 
 # Texts of these characters only are normalised by lower() alone and split by split(), as the tokenizer does it.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7eÀ-įı-ňŊ-ž‐-‧€]*+")
@@ -55,6 +57,7 @@ class WordTokenizer:
         self._whole = Tokenizer.from_file(path)
         self._special = [x.content for x in self._whole.get_added_tokens_decoder().values()]
         self._cache: dict[str, bytes] = {}
+        self._chars = 0
         self._mark = self._whole.encode(_MARK, add_special_tokens=False).ids
         if len(self._mark) != 1:
             raise ValueError("the separator is not one token of this vocabulary")
@@ -68,41 +71,52 @@ class WordTokenizer:
         raw, cuts = ids.tobytes(), (4 * np.flatnonzero(ids == self._mark[0])).tolist()
         return [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
 
+    def _learn(self, missing: set[str]) -> None:
+        """Add parts to the cache."""
+        cache = self._cache
+        # Most parts are a word with a mark or two; the word alone has often been met.
+        marked, new = [], set()
+        for part in missing:
+            core = part.rstrip(_MARKS)
+            if core != part and core[-1:].isalnum():
+                tail = part[len(core) :]
+                marked.append((part, core, tail))
+                if core not in cache:
+                    new.add(core)
+                if tail not in cache:
+                    new.add(tail)
+            else:
+                new.add(part)
+        words = list(new)
+        self._chars += sum(map(len, missing)) + sum(map(len, words))
+        if words:
+            cache.update(zip(words, self._encode_parts(words), strict=True))
+        for part, core, tail in marked:
+            cache[part] = cache[core] + cache[tail]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        plain: list[list[str] | None] = []
+        if len(self._cache) >= CACHED_WORDS or self._chars >= CACHED_CHARS:
+            self._cache, self._chars = {}, 0
+        out: list[bytes | None] = []
+        later: list[tuple[int, list[str]]] = []
+        missing: set[str] = set()
+        get = self._cache.__getitem__
         for text in texts:
-            ok = text is not None and _PLAIN.fullmatch(text) and not any(x in text for x in self._special)
-            plain.append(text.lower().split() if ok else None)
-        cache, extra = self._cache, {}
-        if missing := set().union(*(p for p in plain if p)) - cache.keys():
-            # Most parts are a word with a mark or two; the word alone has often been met.
-            marked, new = [], set()
-            for part in missing:
-                core = part.rstrip(_MARKS)
-                if core != part and core[-1:].isalnum():
-                    tail = part[len(core) :]
-                    marked.append((part, core, tail))
-                    if core not in cache:
-                        new.add(core)
-                    if tail not in cache:
-                        new.add(tail)
-                else:
-                    new.add(part)
-            words = list(new)
-            extra = dict(zip(words, self._encode_parts(words), strict=True)) if words else {}
-            for part, core, tail in marked:
-                extra[part] = (extra[core] if core in extra else cache[core]) + (extra[tail] if tail in extra else cache[tail])
-            if full := len(cache) >= CACHED_WORDS:
-                cache.update(extra)
-            else:
-                cache |= extra
-            self._cache = cache
-        out = []
-        for text, parts in zip(texts, plain, strict=True):
-            out.append(b"".join(map(cache.__getitem__, parts)) if parts is not None else self._encode(text).tobytes() if text else b"")
-        if extra and full:
-            for part in extra:
-                del cache[part]
+            if text is None or not _PLAIN.fullmatch(text) or any(x in text for x in self._special):
+                out.append(self._encode(text).tobytes() if text else b"")
+                continue
+            parts = text.lower().split()
+            try:
+                out.append(b"".join(map(get, parts)))
+            except KeyError:
+                # Some part is new: those of all such texts are tokenized in one call.
+                missing.update(parts)
+                later.append((len(out), parts))
+                out.append(None)
+        if missing:
+            self._learn(missing - self._cache.keys())
+            for i, parts in later:
+                out[i] = b"".join(map(get, parts))
         return out
 
 
