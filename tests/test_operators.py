@@ -84,6 +84,17 @@ def test_encodings(spark):
     assert runs == [(5, 2), (6, 1), (5, 1)]
 
 
+def test_codec_views_across_spans(spark):
+    """Previous ticks are found over empty spans, and zeros of different sign are different bits."""
+    day = 24 * HOUR
+    rows = [(0, -0.0, 7), (5, 0.0, 7), (3 * day, 0.0, 7), (3 * day + 1, NAN, 8), (9 * day, NAN, 8), (-day, 4.0, 1)]
+    df = ticks(spark, [(t, "A", (1, 1, 1, c), v) for t, c, v in rows])
+    by_time = lambda d, c: [r[c] for r in d.orderBy("timestamp").collect()]
+    assert by_time(encodings.delta(df), "delta") == [None, day, 5, 3 * day - 5, 1, 6 * day - 1]
+    assert by_time(encodings.xor_previous(df), "same") == [False, False, False, True, False, True]
+    assert [(r["run"], r["run_length"]) for r in encodings.volume_runs(df).orderBy("run").collect()] == [(1, 1), (2, 3), (3, 2)]
+
+
 def fold(rows, width):
     """One pass over ticks in time order, as a model of the bars."""
     out = []
