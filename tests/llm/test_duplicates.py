@@ -79,6 +79,30 @@ def test_suffixes_on_documents(spark, sample, bucket_runs, monkeypatch):
     assert {i: len(v) for i, v in ranges.items() if v} == {i: w[2] for i, w in zip(sample.index, want) if w[2]}
 
 
+def test_maximal_repeats(spark):
+    """Groups hold every occurrence of their bytes, cannot be extended to the left inside their runs, and cover what repeats."""
+    docs = [(i, t) for i, t in HARD if i in (3, 5, 6, 7, 8)] + [(20, PASSAGE[40:260]), (21, "head " + PASSAGE[40:260] + " tail"), (22, PASSAGE)]
+    raw = {i: t.encode() for i, t in docs}
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    groups = defaultdict(set)
+    for r in suffixes.maximal_repeats(df).collect():
+        groups[r.repeat, r.length].add((r.doc_id, r.start))
+    covered = defaultdict(set)
+    for (_, length), places in groups.items():
+        strings = {raw[i][s : s + length] for i, s in places}
+        assert len(strings) == 1 and len(places) > 1
+        for i, s in sorted(places)[1:]:
+            covered[i].update(range(s, s + length))
+    plain = {i: t for i, t in docs if i in (6, 20, 21, 22)}
+    for (_, length), places in groups.items():
+        if {i for i, _ in places} <= plain.keys():
+            (string,) = {raw[i][s : s + length] for i, s in places}
+            whole = {(i, s) for i in raw for s in range(len(raw[i]) - length + 1) if raw[i].startswith(string, s)}
+            assert places == whole
+    want = repeated_bytes([t for _, t in docs])
+    assert {i: len(covered[i]) for i, _ in docs} == {i: w[2] for (i, _), w in zip(docs, want)}
+
+
 def test_intervals_by_brute_force():
     common = [0, 3, 3, 5, 2, 2, 0, 4, 0, 1]
     want = set()

@@ -10,16 +10,17 @@ occurrence of a maximal repeat but the first.
 
 Copies of a run are counted before they are sorted: equal runs meet by partial aggregation as their first
 occurrence, so copies by the thousand cost a bucket one run. A bucket of very many different runs is dealt again by
-its windows, so that no task holds it whole.
+its windows, so that no task holds it whole. :func:`maximal_repeats` returns the groups themselves.
 
 Defined cases: a null text is empty; documents shorter than a window lose nothing; the first occurrence is by doc_id
 (nulls first), then start; rows of the same doc_id and text do not remove one another's bytes, as neither is
-earlier; other columns are ignored; an empty table gives no rows.
+earlier; ties in order are broken by text; very long texts are one document each, and their runs are sorted in parts;
+other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Texts, byte_names, cover_names, mix, release, staged
+from tidemark.llm.common import Hasher, Texts, byte_names, cover_names, mix, release, staged
 from tidemark.llm.repeats import Runs, attach, mask_of, repeated_runs, runs_of
 
 WINDOW = 100
@@ -197,17 +198,41 @@ def intervals(common: list[int]) -> Iterator[tuple[int, int, int]]:
 RANGES = "doc_id long, text_key long, low long, high long"
 
 
+def _forest(rows: list[tuple], window: int) -> tuple[Forest, list, list, list]:
+    """The intervals of some runs, and the document, start and text key of each part that a run is sorted in."""
+    parts = [
+        (seed, doc_id, start + cut, text_key, payload[cut : cut + LONGEST_RUN - 1 + window])
+        for seed, doc_id, start, text_key, payload in rows
+        for cut in range(0, len(payload) - window + 1, LONGEST_RUN)
+    ]
+    seed, doc_id, start, text_key, payload = (list(x) for x in zip(*parts, strict=True))
+    return Forest(payload, np.array(seed, np.int64).view(np.uint64), window), doc_id, start, text_key
+
+
+def _buckets(made_of) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs dealt and sorted by seed, some whole buckets at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("seed", "doc_id", "start", "text_key", "payload")), strict=True):
+                if size > SORTED_BYTES and row[0] != held[-1][0]:
+                    yield made_of(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[4])
+        if held:
+            yield made_of(held)
+
+    return run
+
+
 def _covered(window: int):
     """Ranges that maximal repeats cover in all occurrences but their first, for runs dealt and sorted by seed."""
 
     def ranges(rows: list[tuple]) -> pa.RecordBatch:
-        parts = [
-            (seed, doc_id, start + cut, text_key, payload[cut : cut + LONGEST_RUN - 1 + window])
-            for seed, doc_id, start, text_key, payload in rows
-            for cut in range(0, len(payload) - window + 1, LONGEST_RUN)
-        ]
-        seed, doc_id, start, text_key, payload = (list(x) for x in zip(*parts, strict=True))
-        forest = Forest(payload, np.array(seed, np.int64).view(np.uint64), window)
+        forest, doc_id, start, text_key = _forest(rows, window)
         # Occurrences in order of document and start.
         rank_of = {d: i for i, d in enumerate(sorted({(d is not None, d or 0, k) for d, k in zip(doc_id, text_key, strict=True)}))}
         place = np.array([rank_of[d is not None, d or 0, k] for d, k in zip(doc_id, text_key, strict=True)], np.int64)
@@ -233,20 +258,33 @@ def _covered(window: int):
              pa.array(low[head]), pa.array(reach[tail] - own * (1 << 40))], [c.split()[0] for c in RANGES.split(", ")],
         )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("seed", "doc_id", "start", "text_key", "payload")), strict=True):
-                if size > SORTED_BYTES and row[0] != held[-1][0]:
-                    yield ranges(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
-        if held:
-            yield ranges(held)
+    return _buckets(ranges)
+
+
+GROUPS = "repeat long, length long, doc_id long, start long, text_key long"
 
-    return run
+
+def _groups(window: int):
+    """Maximal repeats of runs dealt and sorted by seed, a row for each occurrence."""
+
+    def repeats(rows: list[tuple]) -> pa.RecordBatch:
+        forest, doc_id, start, text_key = _forest(rows, window)
+        bytes_ = Hasher(forest.data)
+        columns: list[list] = [[], [], []]
+        for members, lengths in forest.groups():
+            at = forest.at[members[:, 0]]
+            columns[0].append(np.repeat(bytes_.of(at, at + lengths), members.shape[1]).view(np.int64))
+            columns[1].append(np.repeat(lengths, members.shape[1]))
+            columns[2].append(members.ravel())
+        repeat, length, member = (np.concatenate([np.zeros(0, np.int64), *c]) for c in columns)
+        run = forest.run[member]
+        low = np.array(start, np.int64)[run] + forest.offset[member]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(repeat), pa.array(length), pa.array([doc_id[r] for r in run], pa.int64()), pa.array(low), pa.array([text_key[r] for r in run], pa.int64())],
+            [c.split()[0] for c in GROUPS.split(", ")],
+        )
+
+    return _buckets(repeats)
 
 
 def _windows(window: int):
@@ -293,6 +331,23 @@ def repeated_bytes(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
     return whole.unionByName(trees).unionByName(parts)
 
 
+def maximal_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """All occurrences of maximal repeats of ``window`` bytes or more: repeat (equal for equal bytes), length, doc_id,
+    text_key, start.
+
+    A repeat is looked for inside runs, where it is followed as far as the run goes: one that goes on beyond is
+    reported as several that overlap, at most ``window`` + LONGEST_RUN - 1 bytes each. Of a run's first suffixes the
+    byte before is not known; they count as preceded by bytes of their own. Runs that are alike everywhere are one
+    repeat each, with a number of their own.
+    """
+    found = repeated_runs(documents, partial(find, window=window, gram=gram), pa.binary(), "binary")
+    alike = found.filter("same").select(
+        F.xxhash64("seed", "content", "windows").alias("repeat"), (F.col("windows") - 1 + window).alias("length"), "doc_id", "start", "text_key"
+    )
+    dealt = found.filter("NOT same").select("seed", "doc_id", "start", "text_key", "payload").repartition("seed")
+    return alike.unionByName(dealt.sortWithinPartitions("seed", "doc_id", "start", "text_key").mapInArrow(_groups(window), GROUPS))
+
+
 def deduplicate(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """Every document without the bytes that occurred earlier: doc_id, kept (bytes), n_bytes, n_removed, n_spans."""
 
@@ -315,4 +370,4 @@ def deduplicate(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     return attach(documents, covered).mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
-__all__ = ["Forest", "deduplicate", "intervals", "repeated_bytes"]
+__all__ = ["Forest", "deduplicate", "intervals", "maximal_repeats", "repeated_bytes"]
