@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import hashlib
 import uuid
@@ -72,8 +73,10 @@ def discard(*frames: DataFrame) -> None:
 @atexit.register
 def _sweep() -> None:
     for spark, folder in _FOLDERS:
-        if spark.sparkContext._jsc is not None:
-            _delete(spark, folder)
+        # A session that has ended, or whose JVM is gone, deletes nothing.
+        with contextlib.suppress(Exception):
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, folder)
     _FOLDERS.clear()
 
 
