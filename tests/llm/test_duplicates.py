@@ -165,6 +165,14 @@ def test_jaccard_edges(edges, empty):
     assert kept.count(6) == 1 and len(kept) == 10
 
 
+def test_one_of_a_class_stays(spark):
+    """Texts with one doc_id and one set, rows that repeat, and a null id: exactly one is left."""
+    rows = [(1, "a b c d e f"), (1, "a, b c d e f"), (None, "a b c d e f!"), (1, "a b c d e f"), (7, "other words stand alone here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.class_id, r.n_links) for r in jaccard.join(df).collect()} == {(1, 1, 3), (None, 1, 3), (7, 7, 0)}
+    assert sorted(r.doc_id for r in jaccard.deduplicate(df).collect()) == [1, 7]
+
+
 def thue_morse(n, zero="a", one="b"):
     return "".join(one if bin(i).count("1") % 2 else zero for i in range(n))
 

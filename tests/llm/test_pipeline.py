@@ -90,7 +90,7 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     assert gone == {i for i, toxic in labels if toxic}
     assert corpus_pipeline.without_toxic(spark, read, folder).columns == read.columns
     links = brute_links([t for _, t in kept])
-    order = sorted(range(len(kept)), key=lambda k: (kept[k][0] is not None, kept[k][0] or 0))
+    order = sorted(range(len(kept)), key=lambda k: (kept[k][0] is None, kept[k][0] or 0))
     left, seen = [], set()
     for k in order:
         if k not in seen:

@@ -18,7 +18,8 @@ exact; what a run can miss is a pair that shares no bucket and no group, or whos
 deviations less than a pair's at the threshold.
 
 Defined cases: null texts and texts without a word have no shingles, no links and a class of their own; rows that
-repeat are documents that link to one another; class_id is the smallest doc_id of the class, null if it has none;
+repeat are documents that link to one another; class_id is the smallest doc_id of the class, null if it has none, and of
+several texts of that doc_id the one with the least hash is the class's first;
 ties in size or similarity need no order; very long texts are sets like others, and blocks are bounded by tokens; other
 columns are ignored, whatever their names; an empty table gives no rows.
 """
@@ -486,7 +487,8 @@ def join(documents: DataFrame) -> DataFrame:
     every = staged(rows(documents))
     sets = every.filter("h1 IS NOT NULL").withColumn("source", F.xxhash64("doc_id", "text_key")).groupBy("h1", "h2").agg(
         F.first("size").alias("size"), F.first("paths").alias("paths"), F.first("filter").alias("filter"),
-        F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id"), F.min("source").alias("source"),
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key")).alias("lead"),
+        F.min("source").alias("source"),
     )
     # Numbers of nodes: unique, and in no order.
     nodes = staged(sets.withColumn("node", F.xxhash64(F.monotonically_increasing_id())))
@@ -506,20 +508,20 @@ def join(documents: DataFrame) -> DataFrame:
     release(spark)
     links = verified.filter("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     labels = components(verified.filter("links = 0").select("a", "b"))
-    named = nodes.select("node", "h1", "h2", "copies", "least_id").join(labels, "node", "left").join(links, "node", "left")
-    named = staged(named.select("node", "h1", "h2", "copies", "least_id", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")))
+    named = nodes.select("node", "h1", "h2", "copies", "lead").join(labels, "node", "left").join(links, "node", "left")
+    named = staged(named.select("node", "h1", "h2", "copies", "lead", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")))
     discard(nodes, labels, verified)
-    classes = named.groupBy("component").agg(F.min(F.struct("least_id", "node")).alias("first"))
+    # The class's first document: the least id, nulls last; of several texts of that id, one.
+    classes = named.groupBy("component").agg(F.min("lead").alias("first"))
     classed = named.join(classes, "component").select(
-        "h1", "h2", "node", F.col("first.least_id").alias("class_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"),
-        (F.col("first.node") == F.col("node")).alias("leads"),
+        "h1", "h2", "node", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("first.doc_id").alias("class_id"), F.col("first.text_key").alias("class_key"),
     )
     joined = every.select("doc_id", "text_key", "h1", "h2").join(classed, ["h1", "h2"], "left")
     none = F.col("node").isNull()
     return joined.select(
         "doc_id", "text_key", F.when(none, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "node",
-        (none | F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("first"),
+        (none | F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_key"))).alias("first"),
     )
 
 
