@@ -2,7 +2,7 @@
 
 Every stage but the last returns the columns of documents, whatever they are called. Defined cases, for each stage: a
 null or empty text is no evidence of anything and stays, as the class of its own that it is; of rows that repeat one
-stays after the second stage; ties between copies go to the least doc_id, nulls first; very long texts are whole
+stays after the second stage; ties between copies go to the least doc_id, nulls last; very long texts are whole
 documents; an empty table passes through, and gives no pieces.
 """
 
