@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import io
 import json
 import time
@@ -19,10 +21,13 @@ from tidemark.operators import bars, encodings, merge_runs, last_write_wins, sca
 from tidemark.plans import Query, explain_tree, plan
 from tidemark.schema import COLUMNS, SEQ, TICK_SCHEMA
 from tidemark.sources import bars_from_lineitem, ticks_from_events, ticks_from_orders
+from tidemark.sources.files import Files
 from tidemark.streaming import ingest_json, maintain_bars, read_since
 
 Run = Callable[[SparkSession, str], DataFrame]
 
+_FOLDERS: list[tuple[SparkSession, str]] = []
+
 QUERIES: dict[str, Run] = {}
 ORACLES: dict[str, str] = {}
 
@@ -64,7 +69,17 @@ def scratch(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root}/tidemark-{uuid.uuid4().hex}"
+    folder = f"{root}/tidemark-{uuid.uuid4().hex}"
+    _FOLDERS.append((spark, folder))
+    return folder
+
+
+@atexit.register
+def _sweep() -> None:
+    """Delete the stores of queries, which their results read until the end."""
+    for spark, folder in _FOLDERS:
+        with contextlib.suppress(Exception):
+            Files(spark).delete(folder)
 
 
 def _text_query(name: str, text: str, oracle: str, compat: bool = False) -> None:
