@@ -31,6 +31,8 @@ YOUNG = {"compression": "lz4_raw"}
 SETTLED = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary#timestamp": "false"}
 # Symbols of a segment are listed in its manifest entry up to so many.
 LISTED_SYMBOLS = 10_000
+# Of so few, symbols are listed and rows counted by partition in one go.
+FEW_SYMBOLS = 100
 # Places in a partition are the low bits of monotonically_increasing_id.
 _PLACE_BITS = 33
 
@@ -56,15 +58,16 @@ class SegmentStore:
         if not self.files.create_json(f"{self.path}/_manifest/{version:012d}.json", manifest | {"version": version}):
             raise StoreError(f"another writer published version {version}")
 
-    def _segment(self, df: DataFrame, level: int, first_seq: int | None = None) -> dict:
-        """Write ``df``; with ``first_seq`` its sequence column holds places, to be numbered densely from there."""
+    def _segment(self, df: DataFrame, level: int, first_seq: int | None = None, symbols: set[str] | None = None) -> dict:
+        """Write ``df``; with ``first_seq`` its sequence column holds places, to be numbered densely from there.
+        ``symbols``, if known, are those of its rows."""
         name = uuid.uuid4().hex
         uri = f"{self.path}/segments/{name}"
         seen = Observation(f"segment_{name}")
         seq = F.col(SEQ)
         writer = df.observe(
             seen, F.count(F.lit(1)).alias("rows"), F.min(seq).alias("low"), F.max(seq).alias("high"),
-            F.min("timestamp").alias("first"), F.max("timestamp").alias("last"),
+            F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.approx_count_distinct("symbol").alias("symbols"),
         ).write.option("parquet.bloom.filter.enabled#timestamp", "true")
         writer.options(**(SETTLED if level else YOUNG)).parquet(uri)
         found = seen.get
@@ -73,24 +76,28 @@ class SegmentStore:
             "max_seq": found["high"], "first": found["first"], "last": found["last"], "archive": None, "begins": None,
         }
         if found["rows"]:
+            counts: dict[int, int] = {}
             written = self.spark.read.schema(LOG_SCHEMA).parquet(uri)
-            listed = [r[0] for r in written.select("symbol").distinct().limit(LISTED_SYMBOLS + 1).collect()]
-            segment["symbols"] = sorted(listed) if len(listed) <= LISTED_SYMBOLS else None
+            partition = F.shiftright(SEQ, _PLACE_BITS)
+            several = first_seq is not None and found["high"] >> _PLACE_BITS > 0
+            if several and symbols is None and found["symbols"] <= FEW_SYMBOLS:
+                symbols = set()
+                for at, symbol, n in written.groupBy(partition, "symbol").count().toLocalIterator():
+                    counts[at] = counts.get(at, 0) + n
+                    symbols.add(symbol)
+            elif several:
+                counts = dict(written.groupBy(partition).count().collect())
+            if symbols is None:
+                symbols = {r[0] for r in written.select("symbol").distinct().limit(LISTED_SYMBOLS + 1).collect()}
+            segment["symbols"] = sorted(symbols) if len(symbols) <= LISTED_SYMBOLS else None
             if first_seq is not None:
-                segment |= {"min_seq": first_seq, "max_seq": first_seq + found["rows"] - 1}
-                segment["begins"] = self._begins(written, found, first_seq)
+                # The first number of each partition, by partition.
+                begins = [first_seq]
+                for at in range(found["high"] >> _PLACE_BITS):
+                    begins.append(begins[-1] + counts.get(at, 0))
+                segment |= {"min_seq": first_seq, "max_seq": first_seq + found["rows"] - 1, "begins": begins}
         return segment
 
-    def _begins(self, written: DataFrame, found: dict, first_seq: int) -> list[int]:
-        """The first number of each partition, by partition."""
-        if found["high"] >> _PLACE_BITS == 0:
-            return [first_seq]
-        counts = dict(written.groupBy(F.shiftright(SEQ, _PLACE_BITS)).count().collect())
-        begins = [first_seq]
-        for partition in range(found["high"] >> _PLACE_BITS):
-            begins.append(begins[-1] + counts.get(partition, 0))
-        return begins
-
     # writes
 
     def append(self, df: DataFrame, order_by: str | None = None, batch: tuple[str, int] | None = None) -> int:
@@ -188,7 +195,8 @@ class SegmentStore:
         """Replace some segments by one, resolved and range-sorted; it is published before they are deleted."""
         merged = last_write_wins(self._read(old), keep_seq=True)
         ordered = merged.repartitionByRange("symbol", "timestamp").sortWithinPartitions("symbol", "timestamp")
-        segment = self._segment(ordered, level)
+        listed = [s["symbols"] for s in old]
+        segment = self._segment(ordered, level, symbols=None if None in listed else set().union(*listed))
         gone = {s["name"] for s in old}
         self._publish(manifest | {
             "segments": [*(s for s in manifest["segments"] if s["name"] not in gone), segment],
