@@ -69,4 +69,4 @@ def test_cache_is_bounded(monkeypatch):
     for k in range(6):
         texts = [f"alpha{k} beta{k}, gamma", "x" * 50 + str(k), f"alpha{k}"]
         assert [np.frombuffer(g, "<u4").tolist() for g in coder.encode(texts)] == [reference(t)[:-1] for t in texts]
-        assert len(coder._cache) < 16
+        assert len(coder._cache) < 16 and len(coder._cache.older) < 16

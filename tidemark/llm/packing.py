@@ -33,8 +33,8 @@ END_ID = 0
 PARTITION_PIECES = 100_000
 # A sequence with no more than this part of its length free is not opened again.
 KEPT_GAP = 1 / 256
-# What the cache of parts holds at most, before a batch: entries and characters.
-CACHED_WORDS = 600_000
+# What each generation of the cache of parts holds at most, before a batch: entries and characters.
+CACHED_WORDS = 300_000
 CACHED_CHARS = 32 << 20
 
 # Texts of these characters only are normalised by lower() alone and split by split(), as the tokenizer does it.
@@ -44,6 +44,27 @@ _MARKS = ".,;:!?"
 _MARK = "©"  # not among them, and one token
 
 
+class PartCache(dict):
+    """Ids by part in two generations: one that is full becomes the older, and what is asked for again moves up."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+        self.chars = 0
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older[part]
+        self[part] = ids
+        self.chars += len(part)
+        return ids
+
+    def turn(self) -> None:
+        if len(self) >= CACHED_WORDS or self.chars >= CACHED_CHARS:
+            self.older = dict(self)
+            self.clear()
+            self.chars = 0
+
+
 class WordTokenizer:
     """Ids of texts as little-endian unsigned 32-bit bytes, with a cache of white-space-free parts.
 
@@ -56,8 +77,7 @@ class WordTokenizer:
 
         self._whole = Tokenizer.from_file(path)
         self._special = [x.content for x in self._whole.get_added_tokens_decoder().values()]
-        self._cache: dict[str, bytes] = {}
-        self._chars = 0
+        self._cache = PartCache()
         self._mark = self._whole.encode(_MARK, add_special_tokens=False).ids
         if len(self._mark) != 1:
             raise ValueError("the separator is not one token of this vocabulary")
@@ -74,6 +94,7 @@ class WordTokenizer:
     def _learn(self, missing: set[str]) -> None:
         """Add parts to the cache."""
         cache = self._cache
+        known = lambda part: part in cache or part in cache.older
         # Most parts are a word with a mark or two; the word alone has often been met.
         marked, new = [], set()
         for part in missing:
@@ -81,22 +102,18 @@ class WordTokenizer:
             if core != part and core[-1:].isalnum():
                 tail = part[len(core) :]
                 marked.append((part, core, tail))
-                if core not in cache:
-                    new.add(core)
-                if tail not in cache:
-                    new.add(tail)
+                new.update(x for x in (core, tail) if not known(x))
             else:
                 new.add(part)
         words = list(new)
-        self._chars += sum(map(len, missing)) + sum(map(len, words))
+        cache.chars += sum(map(len, missing)) + sum(map(len, words))
         if words:
             cache.update(zip(words, self._encode_parts(words), strict=True))
         for part, core, tail in marked:
             cache[part] = cache[core] + cache[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self._cache) >= CACHED_WORDS or self._chars >= CACHED_CHARS:
-            self._cache, self._chars = {}, 0
+        self._cache.turn()
         out: list[bytes | None] = []
         later: list[tuple[int, list[str]]] = []
         missing: set[str] = set()
@@ -114,7 +131,7 @@ class WordTokenizer:
                 later.append((len(out), parts))
                 out.append(None)
         if missing:
-            self._learn(missing - self._cache.keys())
+            self._learn(missing - self._cache.keys() - self._cache.older.keys())
             for i, parts in later:
                 out[i] = b"".join(map(get, parts))
         return out
