@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from oracle import DATA
 from tidemark.llm import images, queries
@@ -80,6 +81,29 @@ def test_images_of_one_large_bucket_are_connected(spark):
     assert len(reached) == 3000
 
 
+def test_copies_that_meet_in_large_buckets_only_are_found(spark, monkeypatch):
+    """Every image has 20 of 60 descriptors, each common to some 200 images, at places of its own; every tenth has a copy."""
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 2**64, (60, 2), dtype=np.uint64)
+    rows = []
+    for i in range(550):
+        codes = pool[rng.permutation(60)[:20]]
+        places = np.stack([*rng.uniform(0, 400, (2, 20)), np.ones(20), np.zeros(20)], axis=1).astype(np.float32)
+        rows += [(2 * i + k, 9000 * k + 7 * i, places.tobytes(), codes.tobytes()) for k in range(1 + (i % 10 == 0))]
+
+    def given(batches):
+        for batch in batches:
+            raw = batch.column("content").to_pylist()
+            columns = pa.array([r[:320] for r in raw], pa.binary()), pa.array([r[320:640] for r in raw], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("media_id"), batch.column("image"), *columns], ["media_id", "image", "places", "codes"])
+
+    monkeypatch.setattr(images, "_features", given)
+    # A name after the descriptors keeps the copies' bytes apart.
+    df = spark.createDataFrame([(m, bytearray(p + c + b"%d" % n)) for m, n, p, c in rows], "media_id long, content binary")
+    got = {r.media_id: r.class_id for r in images.copies(df).collect()}
+    assert all(got[m] == m - m % 2 for m in got), sum(got[m] != m - m % 2 for m in got)
+
+
 def test_edges(spark):
     flat = images.encode(np.full((40, 40), 9.0))
     rows = [(1, None), (2, b"junk"), (3, flat), (4, flat), (5, b"P5\n4 4\n255\nshort"), (6, b"P5\n1 1\n255\nx"), (6, None)]

@@ -319,3 +319,24 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, Texts]]:
         yield row, Texts(data[ends[row] : ends[stop]], ends[row : stop + 1] - ends[row])
         row = stop
 
+
+def in_common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of some arrays, of different values each, have in common.
+
+    Values that one set alone has cannot be shared; the others are columns of an incidence matrix, a slab at a time.
+    """
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    owner, column = owner[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    slab = 4096
+    last = int(column[-1]) + 1 if len(column) else 0
+    for low in range(0, last, slab):
+        part = slice(*np.searchsorted(column, [low, low + slab]))
+        held = np.zeros((len(sets), min(slab, last - low)), np.float32)
+        held[owner[part], column[part] - low] = 1
+        common += held @ held.T
+    return common

@@ -8,10 +8,11 @@ vote for a common turn, scale and shift, and enough of them that agree make a li
 the classes.
 
 Images of equal bytes are one before all this. A table's bucket of up to BUCKET images gives all its pairs; in a larger one,
-many copies of an image or some texture that many images share, each image is paired with the bucket's representative and
-with the images next to it in two orders. Those are the same in all buckets, so the same pairs come up again; each of
-them is compared, whatever its votes. Pairs grow with the images and not with their square, and what is linked through
-others is joined by the components.
+many copies of an image or some texture that many images share, each image is paired at first with the bucket's representative
+and with the images next to it in two orders. Those are the same in all buckets, so the same pairs come up again; each of
+them is compared, whatever its votes. That joins many copies by pairs that grow with the images and not with their square.
+What a large bucket then still holds in different components is compared block against block: every pair that meets in
+LEAST_VOTES entries of any tables, once. So a pair that shares enough entries is either compared or linked through others.
 
 Defined cases: null, undecodable or textureless images have no descriptors and are classes of their own, but for
 copies of equal bytes; rows that repeat are copies; class_id is the least media_id of the class; other columns are ignored; an empty table gives
@@ -29,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, mix, release, staged
+from tidemark.llm.common import discard, in_common, mix, release, staged
 from tidemark.llm.graph import components
+from tidemark.llm.jaccard import Forest
 
 SCALES = (1.0, 0.75, 0.5)
 CORNERS = 48
@@ -44,6 +46,8 @@ BLOCK = 1000
 LEAST_VOTES = 2
 MOST_BITS = 20
 LEAST_INLIERS = 8
+# Images of a large bucket that are compared with as many others in one unit.
+UNIT = 250
 # Pairs that are joined with their descriptors, some KB each, before those shuffles are dropped.
 SLICE_PAIRS = 50_000
 TOLERANCE = 3.0
@@ -140,7 +144,8 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def agreement(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
     """The most matched corners that one turn, scale and shift explains."""
     (pa_, ca), (pb, cb) = a, b
-    apart = np.bitwise_count(ca[:, None, :] ^ cb[None, :, :]).sum(axis=2)
+    apart = np.bitwise_count(ca[:, None, 0] ^ cb[None, :, 0])
+    apart += np.bitwise_count(ca[:, None, 1] ^ cb[None, :, 1])
     i = np.arange(len(ca))
     j = apart.argmin(axis=1)
     # Only corners that are each other's best match.
@@ -208,10 +213,9 @@ def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
 
-def _meetings(entries: DataFrame) -> DataFrame:
-    """Pairs of images (a < b) and their votes: one for each table entry (image, key) that they meet in.
-
-    In a large bucket a pair stands for others that are never counted, so one such entry is enough."""
+def _meetings(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of images (a < b) and their votes, one for each table entry (image, key) that they meet in; and the entries
+    of large buckets, of whose pairs only some are made here. For those one entry is enough."""
     # A bucket's representative is the first of its images in an order that all buckets share: that of the hash of their bytes.
     sizes = staged(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("image").alias("first")).filter("n > 1"))
     held = staged(entries.join(sizes, "key"))
@@ -229,23 +233,105 @@ def _meetings(entries: DataFrame) -> DataFrame:
     linked = reduce(DataFrame.unionByName, chained).filter("x <> y")
     pairs = pairs.unionByName(linked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(LEAST_VOTES).alias("vote")))
     votes = staged(pairs.groupBy("a", "b").agg(F.sum("vote").alias("votes")))
+    kept = staged(large.select("key", "image"))
     discard(sizes, held)
-    return votes
+    return votes, kept
 
 
-def candidates(features: DataFrame) -> DataFrame:
-    """Pairs of images (a < b) that meet in LEAST_VOTES table entries or more, or are paired in a large bucket.
+def meetings(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of images (a < b) that meet in LEAST_VOTES table entries or more, or are paired in a large bucket; and the
+    entries (key, image) of all large buckets.
 
     The places of the ring are dealt one at a time, so that the shuffles of one pass are gone before the next; a pass
     leaves its pairs with their partial counts.
     """
-    counted = []
+    counted, large = [], []
     for at in range(BANDS):
         keyed = lambda batches, at=at: _entries(batches, range(at, at + 1))
-        counted.append(_meetings(features.select("image", "codes").mapInArrow(keyed, "image long, key long")))
+        made = _meetings(features.select("image", "codes").mapInArrow(keyed, "image long, key long"))
+        counted.append(made[0])
+        large.append(made[1])
         release(features.sparkSession)
     votes = reduce(DataFrame.unionByName, counted)
-    return votes.groupBy("a", "b").agg(F.sum("votes").alias("votes")).filter(F.col("votes") >= LEAST_VOTES)
+    pairs = votes.groupBy("a", "b").agg(F.sum("votes").alias("votes")).filter(F.col("votes") >= LEAST_VOTES)
+    return pairs, reduce(DataFrame.unionByName, large)
+
+
+def candidates(features: DataFrame) -> DataFrame:
+    """The pairs of :func:`meetings`."""
+    return meetings(features)[0]
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between images of different components, unit by unit. Rows come sorted by (unit, image)."""
+
+    def links(held: list[tuple]) -> list[tuple[int, int]]:
+        _, key, image, component, second, keys, places, codes = zip(*held, strict=True)
+        features = [_unpacked(*f) for f in zip(places, codes, strict=True)]
+        names, second = np.unique(component, return_inverse=True)[1], np.array(second)
+        meet = in_common([table_keys(f[1]) for f in features]) >= LEAST_VOTES
+        meet &= names[:, None] != names[None, :]
+        # Of the buckets that hold both images the first has the pair.
+        own = [np.array(k, np.int64) for k in keys]
+        meet &= in_common([k[k < key[0]] for k in own]) == 0
+        if second.any():
+            meet &= second[:, None] != second[None, :]
+        forest, made = Forest(len(names) + int(names.max()) + 1), []
+        for i, name in enumerate(names.tolist()):
+            forest.join(i, len(names) + name)
+        for i, j in np.argwhere(np.triu(meet, 1)).tolist():
+            if forest.root(i) != forest.root(j) and agreement(features[i], features[j]) >= LEAST_INLIERS:
+                forest.join(i, j)
+                made.append((image[i], image[j]))
+        return made
+
+    def written(made: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][0] != row[0]:
+                yield written(links(held))
+                held = []
+            held.append(row)
+    if held:
+        yield written(links(held))
+
+
+def across(large: DataFrame, known: DataFrame, features: DataFrame) -> list[DataFrame]:
+    """The links (a, b) that large buckets hold between images of different components of ``known`` (node, component).
+
+    Buckets of the same images are one. The images of a component that are many in a bucket have blocks of their own,
+    those of the others share blocks; a unit is two blocks, or a shared one with itself, and no two of one component.
+    """
+    spark = large.sparkSession
+    named = large.join(known, F.col("image") == F.col("node"), "left").select("key", "image", F.coalesce("component", "image").alias("component"))
+    counts = staged(named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), *(F.bit_xor(F.xxhash64("image", F.lit(s))).alias(f"x{s}") for s in (3, 4))))
+    few = F.sum(F.when(F.col("n") < UNIT, F.col("n")).otherwise(0))
+    buckets = counts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), few.alias("few"), *(F.bit_xor(x).alias(x) for x in ("x3", "x4")))
+    mixed = buckets.filter("parts > 1").groupBy("n", "x3", "x4").agg(F.min(F.struct("key", "few")).alias("one")).select("one.*")
+    sizes = staged(counts.select("key", "component", "n").join(mixed, "key"))
+    own = F.col("n") >= UNIT
+    turn = F.when(own, F.pmod(F.xxhash64("image"), F.ceil(F.col("n") / UNIT))).otherwise(F.pmod(F.xxhash64("component"), F.greatest(F.ceil(F.col("few") / UNIT), F.lit(1))))
+    block = F.struct(F.when(own, F.col("component")).otherwise(F.lit(0)).alias("of"), own.alias("own"), turn.alias("turn"))
+    members = staged(named.join(sizes, ["key", "component"]).select("key", "image", "component", block.alias("block")))
+    blocks = members.select("key", "block").distinct()
+    facing = blocks.withColumnRenamed("block", "first").join(blocks.withColumnRenamed("block", "second"), "key").filter("first <= second")
+    units = staged(facing.filter("NOT (first.own AND second.own AND first.of = second.of)").withColumn("unit", F.monotonically_increasing_id()))
+    one = units.select("unit", "key", F.col("first").alias("block"), F.lit(False).alias("second"))
+    two = units.filter("first <> second").select("unit", "key", F.col("second").alias("block"), F.lit(True).alias("second"))
+    rows = staged(members.join(one.unionByName(two), ["key", "block"]).select("unit", "key", "image", "component", "second"))
+    keys = members.groupBy("image").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    described = staged(features.select("image", "places", "codes").join(keys, "image"))
+    links, slices = [], -(-rows.count() // (2 * SLICE_PAIRS))
+    for at in range(slices):
+        part = rows.filter(F.pmod(F.xxhash64("unit"), F.lit(slices)) == at).join(described, "image")
+        dealt = part.select("unit", "key", "image", "component", "second", "keys", "places", "codes").repartition("unit").sortWithinPartitions("unit", "image")
+        links.append(staged(dealt.mapInArrow(_across, "a long, b long")))
+        release(spark)
+    discard(counts, sizes, members, units, rows, described)
+    return links
 
 
 def copies(media: DataFrame) -> DataFrame:
@@ -260,7 +346,8 @@ def copies(media: DataFrame) -> DataFrame:
     ids = staged(described.select("media_id", "image"))
     discard(described)
     release(spark)
-    pairs = staged(candidates(features))
+    made, large = meetings(features)
+    pairs = staged(made)
     side = lambda n: features.select(F.col("image").alias(n), F.col("places").alias(f"places_{n}"), F.col("codes").alias(f"codes_{n}"))
     links, slices = [], max(1, -(-pairs.count() // SLICE_PAIRS))
     for at in range(slices):
@@ -268,6 +355,8 @@ def copies(media: DataFrame) -> DataFrame:
         links.append(staged(part.join(side("a"), "a").join(side("b"), "b").mapInArrow(_consensus, "a long, b long")))
         release(spark)
     joined = components(reduce(DataFrame.unionByName, links))
+    if rest := across(large, joined, features):
+        joined = components(reduce(DataFrame.unionByName, links + rest))
     label = F.coalesce("component", "image").alias("component")
     named = staged(ids.join(joined, F.col("image") == F.col("node"), "left").select("media_id", "image", label))
     same = named.groupBy("image").agg((F.count(F.lit(1)) - 1).alias("n_same"))

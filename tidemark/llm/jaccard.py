@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ALNUM, Texts, chunks, code_hasher, discard, fresh, mix, pair, release, staged, text_key, window_names, without
+from tidemark.llm.common import ALNUM, Texts, chunks, code_hasher, discard, fresh, in_common, mix, pair, release, staged, text_key, window_names, without
 from tidemark.llm.graph import components
 from tidemark.llm.repeats import bitmap, passes
 
@@ -407,25 +407,8 @@ def token_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def similar_pairs(sets: list[np.ndarray], cut: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs of sets at or above the threshold: all of them, or with ``cut`` one before and one from it on.
-
-    Tokens that one set alone has cannot be shared; the others are columns of an incidence matrix, a slab at a time.
-    """
-    size = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), size)
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count[column] > 1
-    owner, column = owner[shared], (np.cumsum(count > 1) - 1)[column[shared]]
-    common = np.zeros((len(sets), len(sets)), np.float32)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    slab = 4096
-    last = int(column[-1]) + 1 if len(column) else 0
-    for low in range(0, last, slab):
-        part = slice(*np.searchsorted(column, [low, low + slab]))
-        held = np.zeros((len(sets), min(slab, last - low)), np.float32)
-        held[owner[part], column[part] - low] = 1
-        common += held @ held.T
+    """Positions of the pairs of sets at or above the threshold: all of them, or with ``cut`` one before and one from it on."""
+    size, common = np.array([len(s) for s in sets]), in_common(sets)
     joined = size[:, None] + size[None, :] - common
     # In integers: 0.8 of a union is met exactly at 4 to 5.
     near = np.triu(5 * common >= 4 * joined, 1)
