@@ -23,6 +23,26 @@ def test_tokens_are_the_tokenizers():
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [reference(t)[:-1] for t in texts]
 
 
+def test_each_part_is_looked_up_once_a_batch():
+    asked = []
+
+    class Counted(packing.PartCache):
+        def get(self, part, default=None):
+            asked.append(part)
+            return super().get(part, default)
+
+        def __getitem__(self, part):
+            asked.append(part)
+            return super().__getitem__(part)
+
+    coder = packing.WordTokenizer(PATH)
+    coder._cache = Counted()
+    texts = ["  Some words, some MORE\t", "words. " * 1000, None, "\n", "more some × " * 500]
+    got = coder.encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [reference(t)[:-1] for t in texts]
+    assert len(asked) < 50
+
+
 def test_pieces_and_sequences(edges, empty):
     rows = packing.packed(edges, PATH).collect()
     assert packing.packed(empty, PATH).collect() == []

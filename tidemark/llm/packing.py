@@ -22,6 +22,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,21 +74,25 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self._whole = Tokenizer.from_file(path)
+        # For parts of plain texts, which are normalised once they are lowered.
+        self._bare = Tokenizer.from_file(path)
+        self._bare.normalizer = normalizers.Sequence([])
         self._special = [x.content for x in self._whole.get_added_tokens_decoder().values()]
         self._cache = PartCache()
         self._mark = self._whole.encode(_MARK, add_special_tokens=False).ids
         if len(self._mark) != 1:
             raise ValueError("the separator is not one token of this vocabulary")
 
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self._whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+    def _encode(self, text: str, normalised: bool = False) -> np.ndarray:
+        coder = self._bare if normalised else self._whole
+        return np.array(coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        """All parts in one call, told apart by a separator that no part contains."""
-        ids = self._encode(f" {_MARK} ".join(parts))
+        """All parts, lowered ones of plain texts, in one call, told apart by a separator that no part contains."""
+        ids = self._encode(f" {_MARK} ".join(parts), normalised=True)
         raw, cuts = ids.tobytes(), (4 * np.flatnonzero(ids == self._mark[0])).tolist()
         return [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
 
@@ -112,28 +117,33 @@ class WordTokenizer:
         for part, core, tail in marked:
             cache[part] = cache[core] + cache[tail]
 
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """The ids of different parts."""
+        ids = list(map(self._cache.get, parts))
+        holes = [i for i, x in enumerate(ids) if x is None]
+        if new := {parts[i] for i in holes} - self._cache.older.keys():
+            self._learn(new)
+        for i in holes:
+            ids[i] = self._cache[parts[i]]
+        return ids
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         self._cache.turn()
-        out: list[bytes | None] = []
-        later: list[tuple[int, list[str]]] = []
-        missing: set[str] = set()
-        get = self._cache.__getitem__
-        for text in texts:
-            if text is None or not _PLAIN.fullmatch(text) or any(x in text for x in self._special):
-                out.append(self._encode(text).tobytes() if text else b"")
-                continue
-            parts = text.lower().split()
-            try:
-                out.append(b"".join(map(get, parts)))
-            except KeyError:
-                # Some part is new: those of all such texts are tokenized in one call.
-                missing.update(parts)
-                later.append((len(out), parts))
-                out.append(None)
-        if missing:
-            self._learn(missing - self._cache.keys() - self._cache.older.keys())
-            for i, parts in later:
-                out[i] = b"".join(map(get, parts))
+        out, plain = [b""] * len(texts), []
+        for i, text in enumerate(texts):
+            if text and _PLAIN.fullmatch(text) and not any(x in text for x in self._special):
+                plain.append(i)
+            elif text:
+                out[i] = self._encode(text).tobytes()
+        if plain:
+            # Each different part of all these texts is looked up once; Arrow deals its ids to its places.
+            cut = pc.ascii_split_whitespace(pa.array([texts[i].lower() for i in plain], pa.large_string()))
+            coded = cut.values.dictionary_encode()
+            flat = pa.array(self._ids(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+            _, ends, raw = flat.buffers()
+            at = np.frombuffer(ends, np.int64)[cut.offsets.to_numpy()].tolist()
+            for k, i in enumerate(plain):
+                out[i] = raw[at[k] : at[k + 1]].to_pybytes() if at[k + 1] > at[k] else b""
         return out
 
 
@@ -156,9 +166,9 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_id: in
             doc_ids = batch.column("doc_id").to_pylist()
             texts = batch.column("text")
             rows: list[tuple] = []
-            # Some hundred documents at a time, so that ids of one batch stay small.
-            for at in range(0, len(doc_ids), 250):
-                for doc_id, ids in zip(doc_ids[at : at + 250], coder.encode(texts.slice(at, 250).to_pylist()), strict=True):
+            # Some documents at a time, so that ids of one batch stay small.
+            for at in range(0, len(doc_ids), 1000):
+                for doc_id, ids in zip(doc_ids[at : at + 1000], coder.encode(texts.slice(at, 1000).to_pylist()), strict=True):
                     ids += end
                     step = 4 * capacity
                     for piece, cut in enumerate(range(0, len(ids), step)):
