@@ -104,6 +104,47 @@ def test_copies_that_meet_in_large_buckets_only_are_found(spark, monkeypatch):
     assert all(got[m] == m - m % 2 for m in got), sum(got[m] != m - m % 2 for m in got)
 
 
+def test_disk_of_slices_is_bounded(spark, monkeypatch):
+    """300 images of 3.2 KB of descriptors, of which 6,600 pairs meet: shuffle files on disk are those of one slice only."""
+    rng = np.random.default_rng(11)
+    pool = rng.integers(0, 2**64, (100, 2), dtype=np.uint64)
+    rows = []
+    # Twelve images hold each descriptor of the pool.
+    shared = np.stack([25 * k + rng.permutation(300) // 12 for k in range(4)], axis=1)
+    for i in range(300):
+        codes = np.concatenate([pool[shared[i]], rng.integers(0, 2**64, (96, 2), dtype=np.uint64)])
+        places = rng.uniform(0, 400, (100, 4)).astype(np.float32)
+        rows.append((i, bytearray(places.tobytes() + codes.tobytes())))
+
+    def given(batches):
+        for batch in batches:
+            raw = batch.column("content").to_pylist()
+            columns = pa.array([r[:1600] for r in raw], pa.binary()), pa.array([r[1600:] for r in raw], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("media_id"), batch.column("image"), *columns], ["media_id", "image", "places", "codes"])
+
+    held, write = [], images.staged
+
+    def watched(df):
+        out = write(df)
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        held.append(sum(files.apply(i).length() for i in range(files.size())))
+        return out
+
+    df = spark.createDataFrame(rows, "media_id long, content binary").repartition(2)
+    images.release(spark)
+    monkeypatch.setattr(images, "_features", given)
+    monkeypatch.setattr(images, "staged", watched)
+    monkeypatch.setattr(images, "SLICE_PAIRS", 1000)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert images.copies(df).count() == 300
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # Descriptors of 1,000 pairs are 3.2 MB, and those of all images 1 MB.
+    assert max(held) < 5e6, held
+
+
 def test_edges(spark):
     flat = images.encode(np.full((40, 40), 9.0))
     rows = [(1, None), (2, b"junk"), (3, flat), (4, flat), (5, b"P5\n4 4\n255\nshort"), (6, b"P5\n1 1\n255\nx"), (6, None)]

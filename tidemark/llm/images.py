@@ -21,13 +21,14 @@ no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, in_common, mix, release, staged
@@ -49,7 +50,7 @@ LEAST_INLIERS = 8
 # Images of a large bucket that are compared with as many others in one unit.
 UNIT = 250
 # Pairs that are joined with their descriptors, some KB each, before those shuffles are dropped.
-SLICE_PAIRS = 50_000
+SLICE_PAIRS = 100_000
 TOLERANCE = 3.0
 
 _rng = np.random.Generator(np.random.PCG64(4242))
@@ -81,8 +82,12 @@ def sample(image: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     y, x = np.clip(y, 0, image.shape[0] - 1), np.clip(x, 0, image.shape[1] - 1)
     top, left = np.minimum(y.astype(int), image.shape[0] - 2), np.minimum(x.astype(int), image.shape[1] - 2)
     dy, dx = y - top, x - left
-    upper = image[top, left] * (1 - dx) + image[top, left + 1] * dx
-    return upper * (1 - dy) + (image[top + 1, left] * (1 - dx) + image[top + 1, left + 1] * dx) * dy
+    # In one row or column of pixels the places before the first have no weight.
+    flat, width = image.ravel(), image.shape[1]
+    at = top * width + left
+    upper = flat.take(at, mode="wrap") * (1 - dx) + flat.take(at + 1, mode="wrap") * dx
+    at += width
+    return upper * (1 - dy) + (flat.take(at, mode="wrap") * (1 - dx) + flat.take(at + 1, mode="wrap") * dx) * dy
 
 
 def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -94,9 +99,10 @@ def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
 def smooth(image: np.ndarray) -> np.ndarray:
     """A binomial 5 by 5 blur."""
     for axis in (0, 1):
-        padded = np.pad(image, [(2, 2) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
         n = image.shape[axis]
-        image = sum(w * padded.take(range(k, k + n), axis=axis) for k, w in enumerate((1 / 16, 4 / 16, 6 / 16, 4 / 16, 1 / 16)))
+        padded = image.take(np.clip(np.arange(-2, n + 2), 0, n - 1), axis=axis)
+        parts = (padded[k : k + n] if axis == 0 else padded[:, k : k + n] for k in range(5))
+        image = sum(w * part for w, part in zip((1 / 16, 4 / 16, 6 / 16, 4 / 16, 1 / 16), parts, strict=True))
     return image
 
 
@@ -161,7 +167,10 @@ def agreement(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
     ey = pb[j, 1][:, None] + sin[:, None] * dx + cos[:, None] * dy - pb[j, 1][None, :]
     inlier = ex**2 + ey**2 <= (TOLERANCE * np.maximum(1, zoom))[:, None] ** 2
     # Corners found at several scales at one place count once.
-    best = inlier[int(inlier.sum(axis=1).argmax())]
+    explained = np.count_nonzero(inlier, axis=1)
+    best = inlier[int(explained.argmax())]
+    if explained.max() < LEAST_INLIERS:
+        return int(explained.max())
     cells = np.unique(np.stack([pa_[i, 0][best] // 4, pa_[i, 1][best] // 4]), axis=1)
     return cells.shape[1]
 
@@ -182,22 +191,35 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def table_keys(codes: np.ndarray, places: range = range(BANDS)) -> np.ndarray:
-    """Distinct table keys of some descriptors: KEY_BANDS neighbouring bands from each of some places of the ring."""
+def _keys(codes: np.ndarray, places: range) -> np.ndarray:
+    """The table key of each descriptor at each of some places of the ring."""
     step = DESCRIPTOR_BITS // BANDS // 8
     parts = codes.view(np.uint8).reshape(len(codes), BANDS, step)
     value = sum(parts[:, :, k].astype(np.uint64) << np.uint64(8 * k) for k in range(step))
-    joined = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), value.shape)
+    at = np.array(places)
+    joined = np.broadcast_to(at.astype(np.uint64), (len(codes), len(at)))
     for k in range(KEY_BANDS):
-        joined = mix(joined ^ np.roll(value, -k, axis=1) * np.uint64(0x9E3779B97F4A7C15))
-    return np.unique(joined[:, list(places)].ravel())
+        joined = mix(joined ^ value[:, (at + k) % BANDS] * np.uint64(0x9E3779B97F4A7C15))
+    return joined
+
+
+def table_keys(codes: np.ndarray, places: range = range(BANDS)) -> np.ndarray:
+    """Distinct table keys of some descriptors: KEY_BANDS neighbouring bands from each of some places of the ring."""
+    return np.unique(_keys(codes, places).ravel())
 
 
 def _entries(batches: Iterator[pa.RecordBatch], places: range) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = [table_keys(np.frombuffer(raw, np.uint64).reshape(-1, 2), places) for raw in batch.column("codes").to_pylist()]
-        image = np.repeat(batch.column("image").to_numpy(), [len(k) for k in keys])
-        yield pa.RecordBatch.from_arrays([pa.array(image), pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64))], ["image", "key"])
+        each = [np.frombuffer(raw, np.uint64).reshape(-1, 2) for raw in batch.column("codes").to_pylist()]
+        # The keys of a whole batch at once, each with its image's row; those of one image are distinct.
+        row = np.repeat(np.arange(len(each)), [len(c) * len(places) for c in each])
+        key = _keys(np.concatenate([np.zeros((0, 2), np.uint64), *each]), places).ravel()
+        order = np.lexsort((key, row))
+        row, key = row[order], key[order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+        image = batch.column("image").to_numpy()[row[new]]
+        yield pa.RecordBatch.from_arrays([pa.array(image), pa.array(key[new].view(np.int64))], ["image", "key"])
 
 
 def _unpacked(places: bytes, codes: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -253,7 +275,8 @@ def meetings(features: DataFrame) -> tuple[DataFrame, DataFrame]:
         large.append(made[1])
         release(features.sparkSession)
     votes = reduce(DataFrame.unionByName, counted)
-    pairs = votes.groupBy("a", "b").agg(F.sum("votes").alias("votes")).filter(F.col("votes") >= LEAST_VOTES)
+    pairs = staged(votes.groupBy("a", "b").agg(F.sum("votes").alias("votes")).filter(F.col("votes") >= LEAST_VOTES))
+    discard(*counted)
     return pairs, reduce(DataFrame.unionByName, large)
 
 
@@ -299,6 +322,44 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield written(links(held))
 
 
+def _let_go(spark: SparkSession) -> None:
+    """:func:`release`, of the last query's shuffles too: Spark's event queues hold the end of a query, and with it its plan,
+    until that of another comes."""
+    spark.range(1).collect()
+    release(spark)
+
+
+def _written(links: DataFrame) -> DataFrame:
+    """The links of a slice, at most a few for each of its images, as one file: many small ones cost each reader more than they hold."""
+    return staged(links.repartition(1))
+
+
+def consensus(pairs: DataFrame, features: DataFrame) -> list[DataFrame]:
+    """The links (a, b) among ``pairs`` (a, b).
+
+    Images are dealt into groups, and a slice is what pairs have ``a`` in one group and ``b`` in another: so a slice
+    shuffles the descriptors of those two groups only, and those of ``a`` once more for each of its pairs.
+    """
+    spark = features.sparkSession
+    groups = max(1, math.ceil(math.sqrt(pairs.count() / SLICE_PAIRS)))
+    of = lambda n: F.pmod(F.xxhash64(n), F.lit(groups))
+
+    def side(n: str, at: int) -> DataFrame:
+        rows = features.select(F.col("image").alias(n), F.col("places").alias(f"places_{n}"), F.col("codes").alias(f"codes_{n}"))
+        return rows.filter(of(n) == at)
+
+    links = []
+    for first in range(groups):
+        for second in range(groups):
+            _let_go(spark)
+            part = pairs.select("a", "b").filter((of("a") == first) & (of("b") == second))
+            dealt = part.join(side("a", first), "a").join(side("b", second), "b")
+            links.append(_written(dealt.mapInArrow(_consensus, "a long, b long")))
+    discard(pairs)
+    _let_go(spark)
+    return links
+
+
 def across(large: DataFrame, known: DataFrame, features: DataFrame) -> list[DataFrame]:
     """The links (a, b) that large buckets hold between images of different components of ``known`` (node, component).
 
@@ -322,15 +383,15 @@ def across(large: DataFrame, known: DataFrame, features: DataFrame) -> list[Data
     one = units.select("unit", "key", F.col("first").alias("block"), F.lit(False).alias("second"))
     two = units.filter("first <> second").select("unit", "key", F.col("second").alias("block"), F.lit(True).alias("second"))
     rows = staged(members.join(one.unionByName(two), ["key", "block"]).select("unit", "key", "image", "component", "second"))
-    keys = members.groupBy("image").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    described = staged(features.select("image", "places", "codes").join(keys, "image"))
-    links, slices = [], -(-rows.count() // (2 * SLICE_PAIRS))
+    keys = staged(members.groupBy("image").agg(F.sort_array(F.collect_set("key")).alias("keys")))
+    links, slices = [], -(-rows.count() // SLICE_PAIRS)
     for at in range(slices):
-        part = rows.filter(F.pmod(F.xxhash64("unit"), F.lit(slices)) == at).join(described, "image")
+        _let_go(spark)
+        part = rows.filter(F.pmod(F.xxhash64("unit"), F.lit(slices)) == at).join(keys, "image").join(features, "image")
         dealt = part.select("unit", "key", "image", "component", "second", "keys", "places", "codes").repartition("unit").sortWithinPartitions("unit", "image")
-        links.append(staged(dealt.mapInArrow(_across, "a long, b long")))
-        release(spark)
-    discard(counts, sizes, members, units, rows, described)
+        links.append(_written(dealt.mapInArrow(_across, "a long, b long")))
+    discard(counts, sizes, members, units, rows, keys)
+    _let_go(spark)
     return links
 
 
@@ -346,14 +407,8 @@ def copies(media: DataFrame) -> DataFrame:
     ids = staged(described.select("media_id", "image"))
     discard(described)
     release(spark)
-    made, large = meetings(features)
-    pairs = staged(made)
-    side = lambda n: features.select(F.col("image").alias(n), F.col("places").alias(f"places_{n}"), F.col("codes").alias(f"codes_{n}"))
-    links, slices = [], max(1, -(-pairs.count() // SLICE_PAIRS))
-    for at in range(slices):
-        part = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == at)
-        links.append(staged(part.join(side("a"), "a").join(side("b"), "b").mapInArrow(_consensus, "a long, b long")))
-        release(spark)
+    pairs, large = meetings(features)
+    links = consensus(pairs, features)
     joined = components(reduce(DataFrame.unionByName, links))
     if rest := across(large, joined, features):
         joined = components(reduce(DataFrame.unionByName, links + rest))
