@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import threading
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.errors import ReplicationError, StoreError, SymbolNotFound
 from tidemark.operators import scan
@@ -16,6 +18,7 @@ from tidemark.operators.encodings import symbol_ids
 from tidemark.plans import Query, explain_tree, parse, plan
 from tidemark.schema import SEQ
 from tidemark.sources import SegmentStore, from_columns, from_rows
+from tidemark.sources.adapters import PLACE, column_parts, in_parts, spooled
 from tidemark.streaming.replication import Replica, read_since
 
 PRIMARY, REPLICA = "primary", "replica"
@@ -23,26 +26,32 @@ PRIMARY, REPLICA = "primary", "replica"
 
 @dataclass(frozen=True)
 class Config:
-    """``auto_compact`` merges the levels that an append makes due."""
+    """``auto_compact`` merges the levels that an append makes due. ``keep_all``, of a new store, keeps every tick, also those
+    that share symbol and time, as different events may; otherwise the last written replaces the others. A replica is
+    opened like its primary."""
 
     auto_compact: bool = True
     cold_tier_uri: str | None = None
     cold_tier_min_level: int = 2
     role: str = PRIMARY
+    keep_all: bool = False
 
 
 class Engine:
     def __init__(self, spark: SparkSession, path: str, config: Config | None = None):
         self.spark, self.config = spark, config or Config()
-        self.store = SegmentStore(spark, path)
+        self.store = SegmentStore(spark, path, self.config.keep_all)
         self._replica = Replica(self.store, self.config.role)
 
     # ingest
 
-    def append(self, ticks: DataFrame, order_by: str | None = None) -> int:
-        """Upsert a DataFrame of ticks, the bulk path. Replicas refuse every write but replication."""
+    def _writable(self) -> None:
         if self.config.role == REPLICA:
             raise ReplicationError("replica cannot accept writes")
+
+    def append(self, ticks: DataFrame, order_by: str | None = None) -> int:
+        """Upsert a DataFrame of ticks, the bulk path. Replicas refuse every write but replication."""
+        self._writable()
         rows = self.store.append(ticks, order_by)
         if self.config.auto_compact:
             self.store.compact_due()
@@ -54,13 +63,28 @@ class Engine:
         return self.insert_multi([row])
 
     def insert_batch(self, symbol: str, rows: Iterable[Mapping]) -> int:
-        return self.insert_multi([dict(row) | {"symbol": symbol} for row in rows])
+        return self.insert_multi(dict(row) | {"symbol": symbol} for row in rows)
 
     def insert_multi(self, rows: Iterable[Mapping]) -> int:
-        return self.append(from_rows(self.spark, rows).coalesce(1))
-
-    def insert_batch_columns(self, symbol: str, columns: Mapping[str, Sequence]) -> int:
-        return self.append(from_columns(self.spark, symbol, columns))
+        """Upsert ticks of any symbols; the rows are read as they are needed, so they may come from an iterator."""
+        return self._append_parts(from_rows(self.spark, part) for part in in_parts(rows))
+
+    def insert_batch_columns(self, symbol: str, columns: Mapping[str, Sequence] | Iterable[Mapping[str, Sequence]]) -> int:
+        """Upsert ticks from six arrays, or from some such mappings that are read one at a time."""
+        mappings = [columns] if isinstance(columns, Mapping) else columns
+        return self._append_parts(from_columns(self.spark, symbol, part) for whole in mappings for part in column_parts(whole))
+
+    def _append_parts(self, parts: Iterable[DataFrame]) -> int:
+        """Append parts as one segment, so that all or none of them are seen; the driver holds one at a time."""
+        self._writable()
+        folder = f"{self.store.path}/parts/{uuid.uuid4().hex}"
+        try:
+            ticks = spooled(parts, folder)
+            if ticks is None:
+                return 0
+            return self.append(ticks, order_by=PLACE) if PLACE in ticks.columns else self.append(ticks.coalesce(1))
+        finally:
+            self.store.files.delete(folder)
 
     def insert_numpy(self, symbol, timestamps, open, high, low, close, volume) -> int:
         arrays = {"timestamp": timestamps, "open": open, "high": high, "low": low, "close": close, "volume": volume}
@@ -82,7 +106,7 @@ class Engine:
             tree = explain_tree(query, self.store.stats()["total_rows"])
             return self.spark.createDataFrame([(tree,)], "explain_plan string")
         self._known(query.symbol)
-        return plan(self.ticks(query.start, query.end), query, compat)
+        return plan(self.store.ticks(query.start, query.end, in_order=True), query, compat)
 
     def spark_explain(self, text: str) -> str:
         """The physical plan that Spark chose for a query."""
@@ -92,7 +116,8 @@ class Engine:
         return self.query(Query(symbol=symbol, start=start, end=end))
 
     def scan_stream(self, symbol: str, start: int, end: int) -> Iterator[dict]:
-        return scan.iterate(self.query_range(symbol, start, end))
+        self._known(symbol)
+        return scan.iterate(scan.range_scan(self.store.ticks(start, end, in_order=True), symbol, start, end))
 
     scan_iter = scan_stream
 
@@ -100,9 +125,16 @@ class Engine:
         self._known(symbol)
         return scan.count_range(self.ticks(start, end), symbol, start, end).first()["n"]
 
-    def get(self, symbol: str, timestamp: int) -> dict | None:
+    def lookup(self, symbol: str, timestamp: int) -> DataFrame:
+        """The ticks of that symbol and time: one at most, unless the store keeps all."""
         self._known(symbol)
-        row = scan.point_lookup(self.ticks(timestamp, timestamp), symbol, timestamp).first()
+        return scan.point_lookup(self.store.ticks(timestamp, timestamp, in_order=True), symbol, timestamp)
+
+    def get(self, symbol: str, timestamp: int) -> dict | None:
+        """The tick of that symbol and time that was written last."""
+        found = self.lookup(symbol, timestamp)
+        last = found.orderBy(F.col(SEQ).desc()).drop(SEQ) if SEQ in found.columns else found
+        row = last.first()
         return row.asDict() if row else None
 
     def to_dict(self, text: str, compat: bool = False) -> dict:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidemark.functions import price_matches
-from tidemark.schema import COLUMNS
+from tidemark.operators.order import by_time
+from tidemark.schema import COLUMNS, SEQ
+
+# Rows that the driver holds at once.
+LOCAL_ROWS = 100_000
 
 
 def range_scan(ticks: DataFrame, symbol: str | None, start: int, end: int) -> DataFrame:
@@ -28,8 +32,8 @@ def project(ticks: DataFrame, columns: Sequence[str] | None) -> DataFrame:
 
 
 def point_lookup(ticks: DataFrame, symbol: str, timestamp: int) -> DataFrame:
-    """At most one row: the tick with that key."""
-    return ticks.filter((F.col("symbol") == symbol) & (F.col("timestamp") == F.lit(timestamp).cast("long"))).limit(1)
+    """The ticks with that key: of resolved ones at most one."""
+    return ticks.filter((F.col("symbol") == symbol) & (F.col("timestamp") == F.lit(timestamp).cast("long")))
 
 
 def count_range(ticks: DataFrame, symbol: str | None, start: int, end: int) -> DataFrame:
@@ -39,9 +43,15 @@ def count_range(ticks: DataFrame, symbol: str | None, start: int, end: int) -> D
 
 def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
     """First ``n`` rows in time order, planned as a per-partition top-n."""
-    return df.orderBy(*(order or ("timestamp",))).limit(n)
+    return df.orderBy(*(order or by_time(df))).limit(n)
 
 
 def iterate(ticks: DataFrame) -> Iterator[dict]:
-    """Ticks in (symbol, timestamp) order, one partition at a time on the driver."""
-    return (row.asDict() for row in ticks.orderBy("symbol", "timestamp").toLocalIterator())
+    """Ticks in (symbol, timestamp) order, those of one key by their sequence where it is known."""
+    return (row.asDict() for row in local_rows(ticks, "symbol", *by_time(ticks)))
+
+
+def local_rows(df: DataFrame, *order: str) -> Iterator[Row]:
+    """Rows without their sequence in the order given, one partition of some LOCAL_ROWS at a time on the driver."""
+    parts = max(1, -(-df.count() // LOCAL_ROWS))
+    return df.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop(SEQ).toLocalIterator()

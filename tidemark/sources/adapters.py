@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from itertools import chain, islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.functions import epoch_ns
 from tidemark.schema import COLUMNS, PRICES, SEQ, TICK_SCHEMA
 
+# Rows that the driver turns into a DataFrame at once.
+PART_ROWS = 100_000
+PLACE = "_place"
+
 
 def _raw_bounds(ts: Column, start: int | None, end: int | None) -> Column:
     """The range on the stored microsecond column, widened to whole microseconds, so that Parquet can prune."""
@@ -58,19 +65,58 @@ def bars_from_lineitem(lineitem: DataFrame, width: int) -> DataFrame:
 
 
 def from_rows(spark: SparkSession, rows: Iterable[Mapping]) -> DataFrame:
-    """Ticks from mappings; absent prices and volumes are zero."""
-    missing = dict.fromkeys(PRICES, 0.0) | {"volume": 0}
-    values = [tuple((missing | dict(row))[name] for name in COLUMNS) for row in rows]
-    floats = [tuple(float(v) if n in PRICES else v for n, v in zip(COLUMNS, row, strict=True)) for row in values]
-    return spark.createDataFrame(floats, TICK_SCHEMA)
+    """Ticks from mappings; absent prices and volumes are zero. They are sent as Arrow batches."""
+    rows = list(rows)
 
+    def column(name: str) -> pa.Array:
+        if name in PRICES:
+            return pa.array([float(row.get(name, 0.0)) for row in rows], pa.float64())
+        if name == "volume":
+            return pa.array([row.get(name, 0) for row in rows], pa.int64())
+        return pa.array([row[name] for row in rows], pa.string() if name == "symbol" else pa.int64())
 
-def from_columns(spark: SparkSession, symbol: str, columns: Mapping[str, Sequence]) -> DataFrame:
-    """Ticks of one symbol from six arrays of one length, sent as Arrow batches."""
-    names = [name for name in COLUMNS if name != "symbol"]
-    arrays = {name: columns[name] for name in names}
+    return spark.createDataFrame(pa.table({name: column(name) for name in COLUMNS}), TICK_SCHEMA)
+
+
+def _arrays(columns: Mapping[str, Sequence]) -> dict[str, Sequence]:
+    arrays = {name: columns[name] for name in COLUMNS if name != "symbol"}
     if len({len(values) for values in arrays.values()}) > 1:
         raise ValueError("all arrays must have same length")
+    return arrays
+
+
+def from_columns(spark: SparkSession, symbol: str, columns: Mapping[str, Sequence]) -> DataFrame:
+    """Ticks of one symbol from six arrays of one length, sent as Arrow batches."""
+    arrays = _arrays(columns)
     frame = pd.DataFrame({name: pd.Series(values, dtype="float64" if name in PRICES else "int64") for name, values in arrays.items()})
     frame.insert(1, "symbol", symbol)
     return spark.createDataFrame(frame[list(COLUMNS)], TICK_SCHEMA)
+
+
+def in_parts(rows: Iterable, size: int | None = None) -> Iterator[list]:
+    """Lists of up to ``size`` of the rows, read as they are asked for."""
+    rest = iter(rows)
+    while part := list(islice(rest, size or PART_ROWS)):
+        yield part
+
+
+def column_parts(columns: Mapping[str, Sequence]) -> Iterator[dict[str, Sequence]]:
+    """The same six arrays, some rows at a time."""
+    arrays = _arrays(columns)
+    for low in range(0, max(1, len(arrays["timestamp"])), PART_ROWS):
+        yield {name: values[low : low + PART_ROWS] for name, values in arrays.items()}
+
+
+def spooled(frames: Iterable[DataFrame], folder: str) -> DataFrame | None:
+    """What comes in parts as one DataFrame, None if nothing comes. A single part stays as it is; of more, each is written
+    to ``folder`` before the next is asked for, its rows with their places in PLACE, so that the driver holds one."""
+    frames = iter(frames)
+    begin = list(islice(frames, 2))
+    if len(begin) < 2:
+        return begin[0] if begin else None
+    spark, schema = begin[0].sparkSession, begin[0].schema
+    for number, frame in enumerate(chain(begin, frames)):
+        # The one partition keeps the order.
+        place = F.lit(number << 33).cast("long") + F.monotonically_increasing_id()
+        frame.coalesce(1).withColumn(PLACE, place).write.parquet(f"{folder}/{number:08d}")
+    return spark.read.schema(StructType([*schema, StructField(PLACE, LongType())])).parquet(f"{folder}/*")

@@ -36,7 +36,7 @@ FEW_SYMBOLS = 100
 # Places in a partition are the low bits of monotonically_increasing_id.
 _PLACE_BITS = 33
 
-_EMPTY = {"version": 0, "next_seq": 0, "inserted": 0, "segments": [], "read_bytes": 0, "written_bytes": 0, "batches": {}}
+_EMPTY = {"version": 0, "next_seq": 0, "inserted": 0, "segments": [], "read_bytes": 0, "written_bytes": 0, "batches": {}, "keep_all": False}
 
 
 def level_limit(level: int) -> int:
@@ -44,14 +44,16 @@ def level_limit(level: int) -> int:
 
 
 class SegmentStore:
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, keep_all: bool = False):
+        """With ``keep_all`` a new store keeps every tick, also those that share symbol and time. Its manifests say so."""
         self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark)
+        self._empty = _EMPTY | {"keep_all": keep_all}
 
     # manifest
 
     def manifest(self) -> dict:
         names = [x for x in self.files.names(f"{self.path}/_manifest") if x.endswith(".json")]
-        return _EMPTY | self.files.read_json(f"{self.path}/_manifest/{names[-1]}") if names else dict(_EMPTY)
+        return _EMPTY | self.files.read_json(f"{self.path}/_manifest/{names[-1]}") if names else dict(self._empty)
 
     def _publish(self, manifest: dict) -> None:
         version = manifest["version"] + 1
@@ -168,9 +170,12 @@ class SegmentStore:
         segments = [s for s in self.manifest()["segments"] if s["max_seq"] > after and s["min_seq"] <= last]
         return self._read(segments).filter(F.col(SEQ).between(after + 1, last))
 
-    def ticks(self, start: int | None = None, end: int | None = None) -> DataFrame:
-        """Resolved ticks. One segment that compaction has resolved needs no shuffle."""
+    def ticks(self, start: int | None = None, end: int | None = None, in_order: bool = False) -> DataFrame:
+        """Resolved ticks, or all where the store keeps all; then ``in_order`` leaves them the sequence, which orders
+        those of one time. One segment that compaction has resolved needs no shuffle."""
         manifest = self.manifest()
+        if manifest["keep_all"]:
+            return self.log(start, end) if in_order else self.log(start, end).drop(SEQ)
         if len(manifest["segments"]) == 1 and manifest["segments"][0]["level"] > 0:
             return self.log(start, end).drop(SEQ)
         return last_write_wins(self.log(start, end))
@@ -192,8 +197,9 @@ class SegmentStore:
         return sorted(k for k, v in sizes.items() if (len(v) >= LEVEL_ZERO_SEGMENTS if k == 0 else sum(v) > level_limit(k)))
 
     def _merge(self, manifest: dict, old: list[dict], level: int) -> dict:
-        """Replace some segments by one, resolved and range-sorted; it is published before they are deleted."""
-        merged = last_write_wins(self._read(old), keep_seq=True)
+        """Replace some segments by one, resolved (unless all is kept) and range-sorted; it is published before they are deleted."""
+        rows = self._read(old)
+        merged = rows if manifest["keep_all"] else last_write_wins(rows, keep_seq=True)
         ordered = merged.repartitionByRange("symbol", "timestamp").sortWithinPartitions("symbol", "timestamp")
         listed = [s["symbols"] for s in old]
         segment = self._segment(ordered, level, symbols=None if None in listed else set().union(*listed))
