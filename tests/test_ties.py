@@ -12,6 +12,7 @@ from tidemark.sources import adapters
 TIED = [
     "insert_multi",
     "background_compaction",
+    "compaction_due",
 ]
 
 
@@ -53,3 +54,26 @@ def test_text_sink_shows_every_tick(spark, tied):
     """Its SQL leaves the order of lines of one time open."""
     got, want = (sorted(r, key=lambda x: x[0]) for r in (of_spark(QUERIES["cli_text_sink"](spark, tied))[1:], of_duck(tied, ORACLES["cli_text_sink"])[1:]))
     assert got[0] == want[0] and sorted(x[1] for x in got) == sorted(x[1] for x in want) and len(got) == 301
+
+
+def test_a_large_segment_with_nothing_newer_is_not_due(spark, tied, monkeypatch):
+    """A level beyond its limit waits for something to merge it with, and then goes on before it is merged into."""
+    from tidemark.sources import store
+
+    monkeypatch.setattr(store, "LEVEL_ONE_BYTES", 1)
+    for name in ("compaction_due", "health_and_accessors"):
+        assert of_spark(QUERIES[name](spark, tied)) == of_duck(tied, ORACLES[name])
+
+
+def test_newer_segments_make_a_large_level_due(spark, tmp_path, monkeypatch):
+    from tidemark.sources import store
+
+    monkeypatch.setattr(store, "LEVEL_ONE_BYTES", 1)
+    engine = open_engine(spark, str(tmp_path), auto_compact=False)
+    for i in range(4):
+        assert not engine.needs_compaction()
+        engine.insert("A", i, 1, 1, 1, i, 1)
+    assert engine.needs_compaction() and engine.compact_due() == 1 and not engine.needs_compaction()
+    engine.insert("A", 9, 1, 1, 1, 9, 1)
+    assert engine.needs_compaction() and engine.compact_due() >= 1
+    assert [t["close"] for t in engine.scan_iter("A", 0, 99)] == [0, 1, 2, 3, 9]

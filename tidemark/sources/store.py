@@ -191,10 +191,19 @@ class SegmentStore:
     # maintenance
 
     def due_levels(self) -> list[int]:
+        """Level 0 by its number of segments, others by size. A level of one segment with nothing newer above it waits:
+        to merge it would only write the same rows again, however large they are."""
         sizes: dict[int, list[int]] = {}
         for s in self.manifest()["segments"]:
             sizes.setdefault(s["level"], []).append(s["bytes"])
-        return sorted(k for k, v in sizes.items() if (len(v) >= LEVEL_ZERO_SEGMENTS if k == 0 else sum(v) > level_limit(k)))
+        newest = min(sizes, default=0)
+
+        def due(level: int, held: list[int]) -> bool:
+            if level == 0:
+                return len(held) >= LEVEL_ZERO_SEGMENTS
+            return sum(held) > level_limit(level) and (len(held) > 1 or level > newest)
+
+        return sorted(k for k, v in sizes.items() if due(k, v))
 
     def _merge(self, manifest: dict, old: list[dict], level: int) -> dict:
         """Replace some segments by one, resolved (unless all is kept) and range-sorted; it is published before they are deleted."""
@@ -227,10 +236,11 @@ class SegmentStore:
         return self._merge(manifest, own + below, level + 1)["rows"]
 
     def compact_due(self) -> int:
-        """Merge levels that are due, least first, until none is; returns how many were."""
+        """Merge levels that are due, deepest first, as what is merged into a level meets less there, until none is;
+        returns how many were."""
         done = 0
         while due := self.due_levels():
-            self.compact_level(due[0])
+            self.compact_level(due[-1])
             done += 1
         return done
 
