@@ -15,6 +15,7 @@ TIED = [
     "compaction_due",
     "health_and_accessors",
     "ingest_late",
+    "ingest_replayed_batch",
 ]
 
 
