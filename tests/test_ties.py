@@ -16,6 +16,7 @@ TIED = [
     "health_and_accessors",
     "ingest_late",
     "ingest_replayed_batch",
+    "insert_batch",
 ]
 
 
