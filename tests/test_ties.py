@@ -17,6 +17,8 @@ TIED = [
     "ingest_late",
     "ingest_replayed_batch",
     "insert_batch",
+    "insert_batch_columns",
+    "insert_numpy",
 ]
 
 
