@@ -20,6 +20,18 @@ TIED = [
     "insert_batch_columns",
     "insert_numpy",
     "live_bars",
+    "ohlcv_1s_whole",
+    "ohlcv_1m_all_symbols",
+    "ohlcv_1h_all_symbols",
+    "ohlcv_1h",
+    "limit_first_n",
+    "implicit_order",
+    "point_lookup",
+    "bloom_lookup",
+    "delta_ts",
+    "double_delta_price",
+    "xor_repeat",
+    "rle_volume_runs",
 ]
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import bucket, max_ignoring_nan
+from tidemark.operators.order import moment
 from tidemark.schema import COLUMNS, PRICES
 
 Aggregate = Callable[[DataFrame, int], DataFrame]
@@ -27,12 +28,14 @@ def _flat(bars: DataFrame, close: Column, volume: Column) -> DataFrame:
 
 
 def ohlcv(ticks: DataFrame, width: int) -> DataFrame:
-    """Open, high, low, close and volume of each non-empty bucket; NaN does not win a high."""
+    """Open, high, low, close and volume of each non-empty bucket; NaN does not win a high.
+
+    Of several ticks at the time of an open or close the first by sequence, where that is known, gives it, as in SQL."""
     return _grouped(ticks, width).agg(
-        F.min_by("open", "timestamp").alias("open"),
+        F.min_by("open", moment(ticks)).alias("open"),
         max_ignoring_nan(F.col("high")).alias("high"),
         F.min("low").alias("low"),
-        F.max_by("close", "timestamp").alias("close"),
+        F.max_by("close", moment(ticks, first_wins=True)).alias("close"),
         F.sum("volume").alias("volume"),
     ).withColumnRenamed("bucket", "timestamp").select(*COLUMNS)
 

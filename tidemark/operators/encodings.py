@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from tidemark.functions import HOUR
+from tidemark.operators.order import by_time, moment
 from tidemark.schema import SEQ
 
 SPAN = 24 * HOUR
 
 
-def _within() -> WindowSpec:
-    return Window.partitionBy("symbol", "_span").orderBy("timestamp")
+def _within(ticks: DataFrame) -> WindowSpec:
+    return Window.partitionBy("symbol", "_span").orderBy(*by_time(ticks))
 
 
 def _spans() -> WindowSpec:
@@ -31,9 +32,9 @@ def _spanned(ticks: DataFrame, span: int) -> DataFrame:
 def with_previous(ticks: DataFrame, column: str, span: int = SPAN) -> DataFrame:
     """``_previous``: the column's value in the symbol's previous tick, null on its first."""
     dealt = _spanned(ticks, span)
-    last = dealt.groupBy("symbol", "_span").agg(F.max_by(column, "timestamp").alias("_last"))
+    last = dealt.groupBy("symbol", "_span").agg(F.max_by(column, moment(ticks)).alias("_last"))
     carried = last.select("symbol", "_span", F.lag("_last").over(_spans()).alias("_carried"))
-    inner = dealt.withColumn("_nth", F.row_number().over(_within())).withColumn("_inner", F.lag(column).over(_within()))
+    inner = dealt.withColumn("_nth", F.row_number().over(_within(ticks))).withColumn("_inner", F.lag(column).over(_within(ticks)))
     joined = inner.join(carried, ["symbol", "_span"])
     previous = F.when(F.col("_nth") == 1, F.col("_carried")).otherwise(F.col("_inner"))
     return joined.withColumn("_previous", previous).drop("_span", "_nth", "_inner", "_carried")
@@ -66,7 +67,7 @@ def volume_runs(ticks: DataFrame, span: int = SPAN) -> DataFrame:
     # Runs begun in all earlier spans, and in this one so far.
     begun = marked.groupBy("symbol", "_span").agg(F.sum("_new").alias("_begun"))
     earlier = begun.select("symbol", "_span", (F.sum("_begun").over(_spans()) - F.col("_begun")).alias("_earlier"))
-    so_far = F.sum("_new").over(_within().rowsBetween(Window.unboundedPreceding, 0))
+    so_far = F.sum("_new").over(_within(ticks).rowsBetween(Window.unboundedPreceding, 0))
     islands = marked.withColumn("_so_far", so_far).join(earlier, ["symbol", "_span"]).withColumn("run", F.col("_earlier") + F.col("_so_far"))
     return islands.groupBy("symbol", "run").agg(
         F.max("volume").alias("volume"),

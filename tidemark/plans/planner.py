@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tidemark.operators import bars, scan
+from tidemark.operators.order import by_time
 from tidemark.plans.text import Query, parse
 
 
@@ -17,7 +18,7 @@ def _aggregated(ticks: DataFrame, query: Query, compat: bool) -> DataFrame:
 
 
 def plan(ticks: DataFrame, query: Query | str, compat: bool = False) -> DataFrame:
-    """Lazy result of ``query`` over resolved ticks, in time order.
+    """Lazy result of ``query`` over ticks, in time order; those of one time by their sequence, where ``ticks`` have it.
 
     By default COUNT counts, VWAP is per bucket and the column list projects; ``compat`` gives one per bucket,
     one VWAP for the range and all seven columns.
@@ -28,7 +29,7 @@ def plan(ticks: DataFrame, query: Query | str, compat: bool = False) -> DataFram
         found = scan.price_filter(found, *query.price)
     if query.aggregate is not None:
         found = _aggregated(found, query, compat)
-    found = found.orderBy("timestamp")
+    found = found.orderBy(*by_time(found))
     if query.limit is not None:
         found = found.limit(query.limit)
     return found if query.aggregate is not None else scan.project(found, None if compat else query.columns)
