@@ -32,6 +32,8 @@ TIED = [
     "double_delta_price",
     "xor_repeat",
     "rle_volume_runs",
+    "scan_iter",
+    "query_range",
 ]
 
 
