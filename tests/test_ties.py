@@ -34,6 +34,7 @@ TIED = [
     "rle_volume_runs",
     "scan_iter",
     "query_range",
+    "scan_stream",
 ]
 
 
