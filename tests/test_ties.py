@@ -99,3 +99,12 @@ def test_newer_segments_make_a_large_level_due(spark, tmp_path, monkeypatch):
     engine.insert("A", 9, 1, 1, 1, 9, 1)
     assert engine.needs_compaction() and engine.compact_due() >= 1
     assert [t["close"] for t in engine.scan_iter("A", 0, 99)] == [0, 1, 2, 3, 9]
+
+
+def test_footers_tell_codecs(spark, tmp_path):
+    """Codecs come from the footers, without a file's content on the driver."""
+    engine = open_engine(spark, str(tmp_path), auto_compact=False)
+    engine.insert("A", 1, 1, 1, 1, 1, 1)
+    (segment,) = engine.store.manifest()["segments"]
+    found = {column: codec for column, codec, _ in engine.store.files.column_chunks(segment["uri"])}
+    assert found["timestamp"] == "LZ4" and set(found) >= {"symbol", "close", "volume"}

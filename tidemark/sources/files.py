@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
@@ -45,6 +46,21 @@ class Files:
         finally:
             stream.close()
 
+    def column_chunks(self, uri: str) -> Iterator[tuple[str, str, set[str]]]:
+        """Column, codec and encodings of every column chunk of the Parquet files in a folder. Only footers are read, one at a time."""
+        parquet = self._jvm.org.apache.parquet.hadoop
+        for name in self.names(uri):
+            if not name.endswith(".parquet"):
+                continue
+            reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(self.path(f"{uri}/{name}"), self._conf))
+            try:
+                for group in reader.getFooter().getBlocks():
+                    for chunk in group.getColumns():
+                        codec = chunk.getCodec().name().removesuffix("_RAW")
+                        yield chunk.getPath().toDotString(), codec, {e.name() for e in chunk.getEncodings()}
+            finally:
+                reader.close()
+
     def create_json(self, uri: str, value: dict) -> bool:
         """Write a new file whole; False when ``uri`` is already there. Every writer has a temporary file of its own,
         and the rename does not overwrite, so of two writers one is told that it lost."""
